@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,7 +30,22 @@ def build_session(cpus: int | str = "*", app: str = "fieldledger", **conf) -> Sp
     return builder.getOrCreate()
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors, once a context: they need not have it installed."""
+    context = spark.sparkContext
+    if getattr(context, "_fieldledger_shipped", False):
+        return
+    context._fieldledger_shipped = True
+    top = Path(__file__).resolve().parent
+    target = Path(tempfile.mkdtemp(prefix="fieldledger-code-")) / "fieldledger.zip"
+    with zipfile.ZipFile(target, "w") as z:
+        for f in sorted(top.rglob("*.py")):
+            z.write(f, f.relative_to(top.parent))
+    context.addPyFile(str(target))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
