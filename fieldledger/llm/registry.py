@@ -1,5 +1,6 @@
 """The queries of this package, one for each operator, and their SQL where SQL can express them."""
 
+from fieldledger.llm.idstore import op1_id_store
 from fieldledger.llm.language import op5_language_id
 from fieldledger.llm.packing import op3_best_fit_packing
 from fieldledger.llm.quality import op2_quality_rules
@@ -7,6 +8,7 @@ from fieldledger.llm.tokencount import op9_token_counts
 from fieldledger.llm.toxicity import op10_toxicity
 
 QUERIES = {
+    "op1_id_store": op1_id_store,
     "op2_quality_rules": op2_quality_rules,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op5_language_id": op5_language_id,
