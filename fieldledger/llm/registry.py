@@ -1,7 +1,9 @@
 """The queries of this package, one for each operator, and their SQL where SQL can express them."""
 
+from fieldledger.llm.chat import ORACLE_OP7, op7_chat_format
 from fieldledger.llm.idstore import op1_id_store
 from fieldledger.llm.language import op5_language_id
+from fieldledger.llm.mixing import op8_mixing
 from fieldledger.llm.packing import op3_best_fit_packing
 from fieldledger.llm.quality import op2_quality_rules
 from fieldledger.llm.tokencount import op9_token_counts
@@ -12,8 +14,12 @@ QUERIES = {
     "op2_quality_rules": op2_quality_rules,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op5_language_id": op5_language_id,
+    "op7_chat_format": op7_chat_format,
+    "op8_mixing": op8_mixing,
     "op9_token_counts": op9_token_counts,
     "op10_toxicity": op10_toxicity,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op7_chat_format": ORACLE_OP7,
+}
