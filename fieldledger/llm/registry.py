@@ -4,6 +4,7 @@ from fieldledger.llm.chat import ORACLE_OP7, op7_chat_format
 from fieldledger.llm.idstore import op1_id_store
 from fieldledger.llm.language import op5_language_id
 from fieldledger.llm.mixing import op8_mixing
+from fieldledger.llm.ngramjoin import op6_ngram_join
 from fieldledger.llm.packing import op3_best_fit_packing
 from fieldledger.llm.quality import op2_quality_rules
 from fieldledger.llm.tokencount import op9_token_counts
@@ -14,6 +15,7 @@ QUERIES = {
     "op2_quality_rules": op2_quality_rules,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op5_language_id": op5_language_id,
+    "op6_ngram_join": op6_ngram_join,
     "op7_chat_format": op7_chat_format,
     "op8_mixing": op8_mixing,
     "op9_token_counts": op9_token_counts,
