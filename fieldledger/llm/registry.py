@@ -8,12 +8,14 @@ from fieldledger.llm.ngramjoin import op6_ngram_join
 from fieldledger.llm.packing import op3_best_fit_packing
 from fieldledger.llm.quality import op2_quality_rules
 from fieldledger.llm.tokencount import op9_token_counts
+from fieldledger.llm.topk import op4_top_k
 from fieldledger.llm.toxicity import op10_toxicity
 
 QUERIES = {
     "op1_id_store": op1_id_store,
     "op2_quality_rules": op2_quality_rules,
     "op3_best_fit_packing": op3_best_fit_packing,
+    "op4_top_k": op4_top_k,
     "op5_language_id": op5_language_id,
     "op6_ngram_join": op6_ngram_join,
     "op7_chat_format": op7_chat_format,
