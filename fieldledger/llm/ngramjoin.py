@@ -282,3 +282,10 @@ def _labelled(rows, classes, linked, joined) -> DataFrame:
 
 def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similarity_join(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links")
+
+
+def one_of_each(docs: DataFrame, **options) -> DataFrame:
+    """The documents whose id is the least of their class; columns as they came. Rows that share that id all stay."""
+    gone = similarity_join(docs, **options).filter(~F.col("doc_id").eqNullSafe(F.col("class_id")))
+    gone = gone.select(F.col("doc_id").alias("gone_id")).distinct()
+    return docs.join(gone, docs["doc_id"] == gone["gone_id"], "left_anti")
