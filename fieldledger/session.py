@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import os
+import atexit
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -51,12 +52,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share; one of our own only where the session names none."""
-    found = spark.conf.get(SHARED_DIR_KEY, None) or spark.sparkContext.getConf().get(SHARED_DIR_KEY)
+    context = spark.sparkContext
+    found = spark.conf.get(SHARED_DIR_KEY, None) or context.getConf().get(SHARED_DIR_KEY)
     if found:
         return found
-    own = os.environ.get("FIELDLEDGER_SHARED_DIR") or tempfile.mkdtemp(prefix="fieldledger-")
-    spark.conf.set(SHARED_DIR_KEY, own)
-    return own
+    if not getattr(context, "_fieldledger_shared", None):
+        context._fieldledger_shared = tempfile.mkdtemp(prefix="fieldledger-")
+        atexit.register(shutil.rmtree, context._fieldledger_shared, ignore_errors=True)
+    return context._fieldledger_shared
 
 
 def fresh_path(spark: SparkSession, label: str) -> str:
