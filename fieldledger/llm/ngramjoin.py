@@ -34,7 +34,7 @@ P_RUN = 0.5
 PLACES = 64
 #: Buckets above this are split again, MAX_DEPTH times at most; what is left is compared in blocks.
 BUCKET = 64
-MAX_DEPTH = 4
+MAX_DEPTH = 2
 BLOCK = 512
 #: Members whose lists agree in fewer places than this are not taken further: 4.5 standard errors under the threshold.
 LEAST_SHARE = 0.58
