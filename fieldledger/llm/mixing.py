@@ -67,23 +67,21 @@ def find_alpha(sources: DataFrame, target: float, max_repeats: float, budget: fl
             return (hi / lo) ** (1 - alpha)
         return budget / total * (lo / total) ** (alpha - 1) / z
 
-    def bisect(good) -> float:
-        """The end of [0, 1] at which good holds nearest to the change; good(alpha, z, entropy) changes once."""
+    def bisect(beyond) -> float:
+        """The exponent at which beyond(alpha, normaliser, entropy) turns from false to true; 0 or 1 if it never does."""
         low, high = 0.0, 1.0
         for _ in range(ROUNDS):
             grid = [low + (high - low) * i / (1 << HALVINGS) for i in range((1 << HALVINGS) + 1)]
-            marks = [good(a, *x) for a, x in zip(grid, _trial(sources, total, grid), strict=True)]
-            k = next((i for i in range(len(marks)) if marks[i] != marks[0]), None)
-            if k is None:
-                return high if marks[-1] else low
+            marks = [beyond(a, *x) for a, x in zip(grid, _trial(sources, total, grid), strict=True)]
+            if marks[0] or not marks[-1]:
+                return low if marks[0] else high
+            k = marks.index(True)
             low, high = grid[k - 1], grid[k]
-            falling = marks[0]
-        return low if falling else high
+        return low
 
     wanted = target * math.log(n)
-    alpha = bisect(lambda a, z, h: h >= wanted - 1e-12)
-    slowest = bisect(lambda a, z, h: repeats(a, z) <= max_repeats * (1 + 1e-12))
-    alpha = max(alpha, slowest)
+    alpha = bisect(lambda a, z, h: h < wanted - 1e-12)  # the largest that keeps the entropy
+    alpha = max(alpha, bisect(lambda a, z, h: repeats(a, z) <= max_repeats * (1 + 1e-12)))  # the least that keeps the limit
     z = _trial(sources, total, [alpha])[0][0]
     least = max((x / (x / total) ** alpha for x in (lo, hi))) * z  # B = T / w, largest at an end as the share's power is monotone
     return Temperature(alpha, z, total, float(budget if budget is not None else least))
