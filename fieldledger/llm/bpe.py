@@ -21,8 +21,8 @@ BYTE_WORDS = re.compile(
     rf"'(?:s|t|re|ve|m|ll|d)| ?[{LETTERS}]+| ?[0-9]+| ?[^{SPACES}{LETTERS}0-9]+|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]+"
 )
 LOWER_WORDS = re.compile(rf"'(?:s|t|re|ve|m|ll|d)|[{LETTERS}]+|[0-9]|[^{SPACES}{LETTERS}0-9]+")
-#: Kept words and pieces per worker; the memo starts anew beyond that.
-MEMO = 600_000
+#: Kept words and pieces of a generation, per worker.
+MEMO = 150_000
 
 
 def byte_symbols() -> list[str]:
@@ -99,17 +99,20 @@ class Merges:
 
 
 class Memo(dict):
-    """Keys to packed ids, found when first asked for; it starts anew beyond MEMO entries."""
+    """Keys to packed ids, found when first asked for. Of two generations the older one goes when the younger is full."""
 
     def __init__(self, find):
         super().__init__()
-        self.find = find
+        self.find, self.older = find, {}
 
     def __missing__(self, key: str) -> bytes:
-        if len(self) > MEMO:
-            self.clear()
-        got = self.find(key)
+        got = self.older.get(key)
+        if got is None:
+            got = self.find(key)
         if len(key) < 64:
+            if len(self) >= MEMO:
+                self.older = dict(self)
+                self.clear()
             self[key] = got
         return got
 

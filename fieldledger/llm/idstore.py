@@ -76,7 +76,7 @@ def merkle_root(leaves: list[bytes]) -> bytes:
 def _encoded(path: str, end_id: int):
     def run(batches):
         e = encoder(path)
-        for batch in batches:
+        for batch in _small(batches):
             cols: list[list] = [[], [], [], []]
             for text in batch.column("text").to_pylist():
                 ids = np.append(e.encode(text or ""), np.array(end_id, e.dtype)).astype(e.dtype)
@@ -105,7 +105,7 @@ def _packed(batches):
     from pyspark import TaskContext
 
     part, at, notes = TaskContext.get().partitionId(), 0, {}
-    for batch in batches:
+    for batch in _small(batches):
         cols: dict[str, list] = {c: [] for c in ("part", "doc_id", "local_start", "n_tokens", "width", "sizes", "addresses", "borrowed", "lent", "root", "pack")}
         for row in batch.to_pylist():
             if row["seqs"] is not None:
@@ -179,7 +179,7 @@ def write_store(docs: DataFrame, vocabulary: str, target: str | None = None, end
 
 def _lend(batches):
     """The chunks that others hold too."""
-    for batch in batches:
+    for batch in _small(batches):
         his, los, blobs = [], [], []
         for row in batch.to_pylist():
             borrowed, lent, k = set(row["borrowed"]), set(row["lent"]), 0
@@ -195,11 +195,18 @@ def _lend(batches):
         yield pa.RecordBatch.from_arrays([pa.array(his, pa.int64()), pa.array(los, pa.int64()), pa.array(blobs, pa.binary())], ["hi", "lo", "chunk"])
 
 
-def _restore(bases: dict[int, int]):
+def _small(batches, rows: int = 1000):
+    """Batches in slices, so that few rows are Python objects at a time."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, rows):
+            yield batch.slice(k, rows)
+
+
+def _restore(bases: dict[int, int], with_ids: bool):
     """Documents from their packs and their borrowed chunks, checked against addresses and roots."""
 
     def run(batches):
-        for batch in batches:
+        for batch in _small(batches):
             out: list[list] = [[], [], [], [], []]
             for row in batch.to_pylist():
                 borrowed = set(row["borrowed"])
@@ -215,7 +222,7 @@ def _restore(bases: dict[int, int]):
                 if b"".join(leaves) != row["addresses"] or merkle_root(leaves) != row["root"]:
                     raise ValueError(f"document {row['doc_id']}: its chunks do not match its recipe")
                 ids = np.frombuffer(b"".join(parts), f"<u{width}").astype("<u4").tobytes()
-                values = (row["doc_id"], bases[row["part"]] + row["local_start"], row["n_tokens"], zlib.crc32(ids), ids)
+                values = (row["doc_id"], bases[row["part"]] + row["local_start"], row["n_tokens"], zlib.crc32(ids), ids if with_ids else None)
                 for column, x in zip(out, values, strict=True):
                     column.append(x)
             kinds = (batch.schema.field("doc_id").type, pa.int64(), pa.int64(), pa.int64(), pa.binary())
@@ -224,8 +231,8 @@ def _restore(bases: dict[int, int]):
     return run
 
 
-def read_store(spark: SparkSession, target: str) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 and ids (little-endian unsigned 32-bit) of each document, from the files."""
+def read_store(spark: SparkSession, target: str, with_ids: bool = True) -> DataFrame:
+    """doc_id, start, n_tokens, ids_crc32 and ids (little-endian unsigned 32-bit; null if not wanted) of each document, from the files."""
     store = spark.read.parquet(f"{target}/store")
     kind = store.schema["doc_id"].dataType.simpleString()
     bases, at = {}, 0
@@ -241,7 +248,7 @@ def read_store(spark: SparkSession, target: str) -> DataFrame:
     chunks = uses.join(lent, ["hi", "lo"]).groupBy("row").agg(F.collect_list(F.struct("seq", "chunk")).alias("chunks"))
     joined = needy.join(chunks, "row").drop("row").select(*alone.columns)
     out = f"doc_id {kind}, start long, n_tokens long, ids_crc32 long, ids binary"
-    restore = _restore(bases)
+    restore = _restore(bases, with_ids)
     return alone.mapInArrow(restore, out).unionByName(joined.mapInArrow(restore, out))
 
 
@@ -249,4 +256,4 @@ def op1_id_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     target = write_store(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
-    return read_store(spark, target).drop("ids")
+    return read_store(spark, target, with_ids=False).drop("ids")
