@@ -146,9 +146,10 @@ def frequent_lines(docs: DataFrame, max_docs: int = MAX_LINE_DOCS, max_share: fl
     )
 
 
-def line_verdicts(docs: DataFrame, frequent: DataFrame) -> DataFrame:
-    """doc_id and words_removed, of documents with frequent lines only."""
-    return _lines(docs).join(frequent, "key", "left_semi").groupBy("doc_id").agg(F.sum("n").cast("long").alias("words_removed"))
+def line_hits(docs: DataFrame, frequent: DataFrame) -> DataFrame:
+    """doc_id, words_removed and gone (places of the lines), of documents with frequent lines only."""
+    hits = _lines(docs).join(frequent, "key", "left_semi")
+    return hits.groupBy("doc_id").agg(F.sum("n").cast("long").alias("words_removed"), F.collect_set("at").alias("gone"))
 
 
 def _frequent(docs: DataFrame, **limits) -> DataFrame:
@@ -156,30 +157,35 @@ def _frequent(docs: DataFrame, **limits) -> DataFrame:
     return broadcast_if_small(kept, kept.count())
 
 
+def judged(docs: DataFrame, hits: DataFrame) -> DataFrame:
+    """The base measures with words_removed, words_left and kept."""
+    out = base_rules(docs).join(hits.select("doc_id", "words_removed"), "doc_id", "left")
+    out = out.withColumn("words_removed", F.coalesce("words_removed", F.lit(0).cast("long")))
+    left = F.greatest(F.col("n_words") - F.col("words_removed"), F.lit(0).cast("long"))
+    depleted = (F.col("words_removed") > 0) & ((left < MIN_WORDS_LEFT) | (100 * left < MIN_PERCENT_LEFT * F.col("n_words")))
+    return out.withColumn("words_left", left).withColumn("kept", ~F.col("base_failed") & ~depleted)
+
+
 def quality_rules(docs: DataFrame, **limits) -> DataFrame:
     """A row a document: the base measures, words_removed, words_left, base_failed and kept.
 
     Nulls: a null text is empty (no words, so it fails the base rules), a null source is a host of its own, a null
     doc_id is an id like others. Repeated doc_ids share the sum of their removed lines. An empty table gives no rows.
     """
-    removed = line_verdicts(docs, _frequent(docs, **limits))
-    out = base_rules(docs).join(removed, "doc_id", "left")
-    out = out.withColumn("words_removed", F.coalesce("words_removed", F.lit(0).cast("long")))
-    left = F.greatest(F.col("n_words") - F.col("words_removed"), F.lit(0).cast("long"))
-    depleted = (F.col("words_removed") > 0) & ((left < MIN_WORDS_LEFT) | (100 * left < MIN_PERCENT_LEFT * F.col("n_words")))
-    return out.withColumn("words_left", left).withColumn("kept", ~F.col("base_failed") & ~depleted)
+    return judged(docs, line_hits(docs, _frequent(docs, **limits)))
 
 
 def keep_documents(docs: DataFrame, **limits) -> DataFrame:
-    """The documents that pass, with their frequent lines removed and n_chars counted anew; columns as they came."""
-    frequent = _frequent(docs, **limits)
+    """The documents that pass, with their frequent lines removed and n_chars counted anew; columns as they came.
+
+    Of rows that repeat a doc_id, all stay if one passes.
+    """
     names = docs.columns
-    verdict = quality_rules(docs, **limits).filter("kept").select(F.col("doc_id").alias("kept_id"), "words_removed").distinct()
-    kept = docs.join(verdict, docs["doc_id"] == verdict["kept_id"])
-    hits = (
-        _lines(docs).join(frequent, "key", "left_semi").groupBy("doc_id").agg(F.collect_set("at").alias("gone")).withColumnRenamed("doc_id", "gone_id")
-    )
-    cut = kept.join(hits, kept["doc_id"] == hits["gone_id"], "left")
+    hits = materialize(line_hits(docs, _frequent(docs, **limits)), "line-hits")
+    passed = judged(docs, hits).filter("kept").select(F.col("doc_id").alias("kept_id")).distinct()
+    gone = hits.select(F.col("doc_id").alias("gone_id"), "gone")
+    kept = docs.join(passed, docs["doc_id"] == passed["kept_id"], "left_semi")
+    cut = kept.join(gone, kept["doc_id"] == gone["gone_id"], "left")
     text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(
         F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains(F.col("gone"), i)), "\n")
     )
