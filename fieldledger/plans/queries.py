@@ -494,7 +494,7 @@ def rare_prefixes(spark, d):
 @query("SELECT meter_raw, count(*) AS n FROM nb WHERE nk IN (2, 5) GROUP BY 1", nb=True)
 def anomalies(spark, d):
     rows = nb_sql(spark, d, "SELECT meter_raw FROM nb")
-    return rows.filter(t.parse_code(F.col("meter_raw")).isNull() & ~t.has_pointer(F.col("meter_raw")) & ~F.col("meter_raw").rlike("^\"|O|^[A-Z]+ [0-9]{3} ")).groupBy("meter_raw").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "meter_raw")
+    return rows.filter(t.parse_code(F.col("meter_raw")).isNull() & ~t.has_pointer(F.col("meter_raw")) & ~F.col("meter_raw").rlike("^\"| [0-9]*O|^[A-Z]+ [0-9]{3} ")).groupBy("meter_raw").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "meter_raw")
 
 
 @query("SELECT batch_id, concat(pfx, lpad(CAST(CAST(d5 AS INTEGER) % 50 AS VARCHAR), 5, '0')) AS meter, count(*) AS n FROM nb WHERE nk > 5 GROUP BY 1, 2 HAVING count(*) > 1", nb=True)
