@@ -58,7 +58,7 @@ def root_paths(nodes: DataFrame) -> DataFrame:
     paths = nodes.join(inner, ["tree", "node"], "left_anti").select("tree", F.col("node").alias("leaf"), F.lit(0).cast("long").alias("up"), "node")
     for k in reversed(range(len(jumps))):
         further = paths.join(jumps[k], ["tree", "node"]).select("tree", "leaf", (F.col("up") + (1 << k)).alias("up"), F.col("to").alias("node"))
-        paths = paths.unionByName(further)
+        paths = materialize(paths.unionByName(further), "paths")  # else the plan would double in each round
     return paths
 
 
