@@ -54,7 +54,7 @@ def fuzzy_prefix(df: DataFrame, prefix: str, threshold: float = 85.0) -> DataFra
     return df.withColumn("match", F.when(key != "", F.when(best.isNotNull(), F.struct(best["p"].alias("prefix"), best["score"].alias("score")))))
 
 
-def interval_join(rows: DataFrame, key: str, spans: DataFrame, most: int = 10_000_000) -> DataFrame:
+def interval_join(rows: DataFrame, key: str, spans: DataFrame) -> DataFrame:
     """Rows with the span (id, first_row, last_row) that their key lies in, and offset in it. Spans become keys: an equi-join."""
     keys = spans.select("id", "first_row", F.explode(F.sequence("first_row", "last_row")).alias("_key"))
     return rows.join(keys, rows[key] == keys["_key"]).withColumn("offset", F.col(key) - F.col("first_row")).drop("_key", "first_row")
