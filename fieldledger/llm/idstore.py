@@ -33,7 +33,6 @@ END_ID = 2
 WINDOW = 16
 #: A cut comes every MEAN ids on average, between LEAST and MOST.
 LEAST, MEAN, MOST = 64, 256, 1024
-#: Documents with no chunk of their own still have a row.
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
