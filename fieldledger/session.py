@@ -66,7 +66,7 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, label: str, path: str | None = None, add_row: bool = False) -> DataFrame:
+def materialize(df: DataFrame, label: str, path: str | None = None, add_row: bool = False, compression: str = "snappy") -> DataFrame:
     """Writes df as Parquet in the shared folder and reads it back: a cut in the lineage that lost executors do not undo.
 
     add_row gives each row a number of its own, the same at each later reading.
@@ -74,7 +74,7 @@ def materialize(df: DataFrame, label: str, path: str | None = None, add_row: boo
     spark = df.sparkSession
     df = df.withColumn("row", F.monotonically_increasing_id()) if add_row else df
     path = path or fresh_path(spark, label)
-    df.write.mode("overwrite").parquet(path)
+    df.write.mode("overwrite").parquet(path, compression=compression)
     return spark.read.schema(df.schema).parquet(path)
 
 
