@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldledger.llm.bpe import encoder
-from fieldledger.session import fresh_path, materialize, table
+from fieldledger.session import drop_path, fresh_path, materialize, table
 
 END_ID = 2
 WINDOW = 16
@@ -147,7 +147,9 @@ def write_store(docs: DataFrame, vocabulary: str, target: str | None = None, end
     staged = materialize(
         docs.select("doc_id", "text").mapInArrow(_encoded(vocabulary, end_id), f"doc_id {kind}, width int, sizes array<int>, addresses binary, ids binary"),
         "encoded",
+        path=(staging := fresh_path(spark, "encoded")),
         add_row=True,
+        compression="zstd",
     )
     chunks = _addresses(staged.select("row", "addresses"))
     # the first holder, at its first place there, owns a chunk; a copy inside one document is borrowed too
@@ -166,7 +168,8 @@ def write_store(docs: DataFrame, vocabulary: str, target: str | None = None, end
     )
     rows = rows.unionByName(notes).withColumn("last", F.col("seqs").isNull())
     ordered = rows.repartitionByRange("doc_id", "row").sortWithinPartitions("doc_id", "row", "last")
-    ordered.drop("last").mapInArrow(_packed, STORE.format(kind=kind)).write.parquet(f"{target}/store")
+    ordered.drop("last").mapInArrow(_packed, STORE.format(kind=kind)).write.parquet(f"{target}/store", compression="zstd")
+    drop_path(spark, staging)
     store = spark.read.parquet(f"{target}/store")
     manifest = store.select("part", "local_start", "n_tokens", "root").groupBy("part").agg(
         F.count("*").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"), F.sort_array(F.collect_list(F.struct("local_start", "root"))).alias("roots")
