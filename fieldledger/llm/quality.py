@@ -3,12 +3,16 @@
 Line frequency: each document's lines are normalised (lower case, digits to 0, white space collapsed) and hashed with
 the host. For each (host, line) the distinct documents are counted; lines above the limit are removed, and a document
 left with too few of its words is rejected as depleted. Copies of one page would make every line of it frequent, so
-documents are counted as *effective* ones: each carries the smallest hash of its other lines as a mark of its
-surroundings, and with c_m documents under mark m the count is (sum c_m)^2 / sum c_m^2. Lines that recur in otherwise
-different documents keep their full count; a thousand near copies of one page count as a few.
+whole near copies count as one document, and nothing else is weighed down: documents that share a menu, footer or
+licence passage of any number of lines keep their full count, as long as the rest of them differs.
 
-Everything is Spark SQL. Lines are pre-aggregated by (line, mark) before a second aggregation by line, so that a line
-that a third of all documents have is spread over many tasks and reaches the second shuffle as one row a task.
+Near copies are known by a sketch of the whole text, the SKETCH smallest hashes of its runs of three words. Each of a
+document's MARKS smallest hashes proposes the first document of the host that has it too; the two are near copies where
+at least NEAR of the larger sketch is common to both. Only documents with a line above the limits are compared, as a
+line's count can only fall.
+
+Everything is Spark SQL. Counts are combined before they are dealt by line, and equal documents become one row before
+they are dealt by mark.
 """
 
 from __future__ import annotations
@@ -25,12 +29,16 @@ SYMBOLS = "#*$%&|<>"
 WINDOW = 8
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
-#: A line is removed in a host where more effective documents than both have it.
+#: A line is removed in a host where more documents than both have it, near copies counted once.
 MAX_LINE_DOCS = 20
 MAX_LINE_SHARE = 0.001
 #: A document is depleted where fewer of its words than this stay, in number or percent.
 MIN_WORDS_LEFT = 10
 MIN_PERCENT_LEFT = 30
+SKETCH = 48
+MARKS = 8
+#: Common share of two sketches from which documents are near copies; 3/4 is a Jaccard likeness of 0.6 of runs of three words.
+NEAR = 0.75
 
 
 def words(text: Column) -> Column:
@@ -118,32 +126,56 @@ def _lines(docs: DataFrame) -> DataFrame:
     )
 
 
+def _sketch(text: Column) -> Column:
+    """The smallest hashes of the runs of three words, sorted; all of them in a short text. White space is collapsed by line."""
+    return let(
+        F.transform(F.array_remove(F.split(F.translate(text, "\n", " "), " "), ""), lambda w: F.hash(w)),
+        lambda h: F.slice(
+            F.sort_array(F.array_distinct(F.transform(h, lambda x, i: F.hash(x, F.get(h, i + 1), F.get(h, i + 2))))), 1, SKETCH
+        ),
+    )
+
+
+def _near_copies(held: DataFrame) -> DataFrame:
+    """row and label (an earlier row of the host), of the rows that are near copies of another. held: row, host, sketch."""
+    marks = held.select("row", "host", F.explode(F.slice("sketch", 1, MARKS)).alias("mark"))
+    first = marks.groupBy("host", "mark").agg(F.min("row").alias("label"), F.count("*").alias("c")).filter("c > 1").drop("c")
+    pairs = marks.join(first, ["host", "mark"]).filter("label < row").select("row", "label").distinct()
+    both = pairs.join(held.select("row", "sketch"), "row").join(held.select(F.col("row").alias("label"), F.col("sketch").alias("other")), "label")
+    common = F.size(F.array_intersect("sketch", "other"))
+    return both.filter(common >= NEAR * F.greatest(F.size("sketch"), F.size("other"))).groupBy("row").agg(F.min("label").alias("label"))
+
+
 def frequent_lines(docs: DataFrame, max_docs: int = MAX_LINE_DOCS, max_share: float = MAX_LINE_SHARE) -> DataFrame:
-    """The keys of lines that more effective documents of their host have than both limits allow."""
+    """The keys of lines that more documents of their host have than both limits allow, near copies counted once."""
     host = F.coalesce(F.col("source"), F.lit(""))
     text = F.coalesce(F.col("text"), F.lit(""))
-    norm = F.filter(F.split(F.regexp_replace(F.regexp_replace(F.lower(text), "[0-9]+", "0"), "[\\x20\\x09\\x0B-\\x0D]+", " "), "\n"), lambda x: F.trim(x) != "")
-    keyed = docs.select(
-        F.xxhash64(host).alias("host"),
-        let(host, lambda h: F.array_distinct(F.transform(norm, lambda x: F.xxhash64(h, F.trim(x))))).alias("keys"),
-    )
-    marks = keyed.select("host", "keys", F.array_min("keys").alias("first")).select(
-        "host", "first", F.array_min(F.array_remove(F.col("keys"), F.col("first"))).alias("second"), F.explode("keys").alias("key")
-    )
-    pairs = (
-        marks.select("host", "key", F.coalesce(F.when(F.col("key") == F.col("first"), F.col("second")).otherwise(F.col("first")), F.lit(0)).alias("mark"))
-        .groupBy("host", "key", "mark")
-        .agg(F.count("*").alias("c"))
-    )
-    lines = pairs.groupBy("host", "key").agg(F.sum("c").alias("docs"), F.sum(F.col("c") * F.col("c")).alias("squares"))
-    hosts = docs.groupBy(F.xxhash64(host).alias("host")).agg(F.count("*").alias("host_docs"))
-    effective = F.col("docs") * F.col("docs") / F.col("squares")
-    return (
-        lines.filter(effective > max_docs)
-        .join(hosts, "host")
-        .filter(effective > F.col("host_docs") * max_share)
-        .select("key")
+    flat = F.regexp_replace(F.regexp_replace(F.lower(text), "[0-9]+", "0"), "[\\x20\\x09\\x0B-\\x0D]+", " ")
+
+    def keys(x: Column) -> Column:
+        norm = F.filter(F.split(x, "\n"), lambda line: F.trim(line) != "")
+        return let(host, lambda h: F.array_distinct(F.transform(norm, lambda line: F.xxhash64(h, F.trim(line)))))
+
+    both = let(flat, lambda x: F.struct(keys(x).alias("keys"), _sketch(x).alias("sketch")))
+    keyed = docs.select(F.xxhash64(host).alias("host"), both.alias("both")).select("host", "both.keys", "both.sketch")
+    keyed = materialize(keyed, "line-keys", add_row=True)
+    hosts = keyed.groupBy("host").agg(F.count("*").alias("host_docs"))
+
+    def above(counted: DataFrame) -> DataFrame:
+        return counted.filter(F.col("docs") > max_docs).join(hosts, "host").filter(F.col("docs") > F.col("host_docs") * max_share).select("key")
+
+    often = materialize(above(keyed.select("host", F.explode("keys").alias("key")).groupBy("host", "key").agg(F.count("*").alias("docs"))), "often-lines")
+    held = (
+        keyed.select("row", "host", "sketch", F.explode("keys").alias("key"))
+        .join(broadcast_if_small(often, often.count()), "key", "left_semi")
+        .groupBy("row", "host")
+        .agg(F.first("sketch").alias("sketch"), F.sort_array(F.collect_list("key")).alias("keys"))
+        .groupBy("host", "sketch", "keys")
+        .agg(F.min("row").alias("row"))
     )
+    held = materialize(held, "line-documents")
+    labelled = held.join(_near_copies(held), "row", "left").select("host", F.coalesce("label", "row").alias("label"), F.explode("keys").alias("key"))
+    return above(labelled.distinct().groupBy("host", "key").agg(F.count("*").alias("docs")))
 
 
 def line_hits(docs: DataFrame, frequent: DataFrame) -> DataFrame:

@@ -80,6 +80,21 @@ def test_line_frequency(spark):
     assert quality.quality_rules(docs.limit(0)).count() == 0
 
 
+def test_footer_of_several_lines(spark):
+    """A footer of four lines on every document of a large host, and a page of many near copies that has it too."""
+    footer = "\n".join(sentence(700 + k, 8) for k in range(4))
+    rows = [(i, f"{sentence(1000 + i, 45)}\n{footer}", "a") for i in range(6000)]
+    page = "\n".join(sentence(800 + k, 12) for k in range(6)).split(" ")
+    rows += [(10_000 + i, " ".join([*page[: i % 60], f"w{i}x", *page[i % 60 + 1 :]]) + "\n" + footer, "a") for i in range(4000)]
+    rows += [(20_000 + i, f"{sentence(9000 + i, 9)}\n{footer}", "a") for i in range(30)]  # little but the footer
+    docs = make(spark, rows)
+    got = {r["doc_id"]: r for r in quality.quality_rules(docs).collect()}
+    assert {got[i]["words_removed"] for i in got} == {32}
+    assert all(got[i]["kept"] for i in got if i < 20_000) and not any(got[20_000 + i]["kept"] for i in range(30))
+    kept = {r["doc_id"]: r["text"] for r in quality.keep_documents(docs).collect()}
+    assert kept == {i: t.removesuffix("\n" + footer) for i, t, _ in rows if i < 20_000}
+
+
 def jaccard_groups(rows, least=0.8):
     sets = {}
     for k, r in enumerate(rows):
