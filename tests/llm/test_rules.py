@@ -239,6 +239,20 @@ def test_top_k(spark, monkeypatch):
     assert topk.top_k(docs.limit(0), queries).count() == 0
 
 
+def test_top_k_asks_for_all_words(spark):
+    """A document that shares the 40 common words of a query beats one that has its 24 rare ones."""
+    common, rare = [f"c{i}" for i in range(400)], [f"r{i}" for i in range(24)]
+    rows = [(0, " ".join(common + rare)), (1, " ".join(rare)), (2, " ".join(common))] + [(3 + i, " ".join(common[i::40])) for i in range(40)] + [(50 + i, " ".join(rare)) for i in range(3)]
+    docs = make(spark, rows)
+    got = [(r["doc_id"], r["score"]) for r in topk.top_k(docs, docs.filter("doc_id = 0").selectExpr("doc_id AS query_id", "text"), k=2).orderBy("rank").collect()]
+    bags = {i: Counter(t.split()) for i, t in rows}
+    mean, df = sum(map(len, bags.values())) / len(bags), Counter(w for b in bags.values() for w in b)
+    scores = {i: math.fsum(math.log(1 + (len(bags) - df[w] + 0.5) / (df[w] + 0.5)) * 2.2 / (1 + 1.2 * (0.25 + 0.75 * len(b) / mean)) for w in b) for i, b in bags.items()}
+    want = sorted(scores.items(), key=lambda x: (-x[1], x[0]))[:2]
+    assert [i for i, _ in got] == [i for i, _ in want] and {i for i, _ in got} == {0, 2}
+    assert np.allclose([s for _, s in got], [s for _, s in want], rtol=1e-12)
+
+
 def test_language_lengths_are_exact():
     """Code lengths from the table equal those of a plain walk down the context trees; each state's shares sum to one."""
     grams = Counter()
