@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldledger.functions import fixed, text as t
+from fieldledger.session import broadcast_if_small
 
 BATCH = "batch_id"
 
@@ -95,7 +96,8 @@ def audit_surveys(rows: DataFrame, known_gaps: DataFrame | None = None) -> DataF
     found = found.select(BATCH, kind.alias("kind"), "previous", "current")
     if known_gaps is None:
         return found
-    known = F.broadcast(known_gaps.select(F.lit("gap").alias("kind"), "previous", "current").limit(100_000))
+    known = known_gaps.select(F.lit("gap").alias("kind"), "previous", "current")
+    known = broadcast_if_small(known, known.count())
     return found.join(known, ["kind", "previous", "current"], "left_anti").select(BATCH, "kind", "previous", "current")
 
 

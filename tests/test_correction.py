@@ -125,3 +125,9 @@ def test_audits(spark):
     expected = spark.createDataFrame([("b", 1, 3), ("b", 2, 1), ("b", 3, 0)], "batch_id string, page_no long, detected_rules int")
     assert [tuple(r) for r in assembly.audit_row_counts(corrected, expected).collect()] == [("b", 1, 3, 2)]
     assert assembly.audit_all(rows, corrected, expected).count() == 4
+
+
+def test_many_known_gaps(spark):
+    _, _, _, rows = assembled(spark, {1: [("600", "TZ 51697"), ("604", "SFT 22222")]})
+    known = spark.range(100_001, numPartitions=1).selectExpr("IF(id = 100000, 600, 10000 + id) AS previous", "IF(id = 100000, 604, 10002 + id) AS current")
+    assert assembly.audit_surveys(rows, known).count() == 0
