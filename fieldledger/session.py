@@ -28,7 +28,9 @@ def build_session(cpus: int | str = "*", app: str = "fieldledger", **conf) -> Sp
     )
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    ship(spark)
+    return spark
 
 
 def ship(spark: SparkSession) -> None:
@@ -51,11 +53,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where the session names none."""
+    """The folder that driver and executors share; a folder of our own only where one machine runs all and the session names none."""
     context = spark.sparkContext
     found = spark.conf.get(SHARED_DIR_KEY, None) or context.getConf().get(SHARED_DIR_KEY)
     if found:
         return found
+    if not context.master.startswith("local"):
+        raise ValueError(f"set {SHARED_DIR_KEY} to a folder that the driver and all executors share")
     if not getattr(context, "_fieldledger_shared", None):
         context._fieldledger_shared = tempfile.mkdtemp(prefix="fieldledger-")
         atexit.register(shutil.rmtree, context._fieldledger_shared, ignore_errors=True)
@@ -69,15 +73,22 @@ def fresh_path(spark: SparkSession, label: str) -> str:
 def materialize(df: DataFrame, label: str, path: str | None = None, add_row: bool = False, compression: str = "snappy") -> DataFrame:
     """Writes df as Parquet in the shared folder and reads it back: a cut in the lineage that lost executors do not undo.
 
-    add_row gives each row a number of its own, the same at each later reading.
+    add_row gives each row a number of its own, the same at each later reading. What is written stays until the
+    application ends, or drop_path() takes it: a result may be read at any time after the call.
     """
     spark = df.sparkSession
+    ship(spark)
     df = df.withColumn("row", F.monotonically_increasing_id()) if add_row else df
     path = path or fresh_path(spark, label)
     df.write.mode("overwrite").parquet(path, compression=compression)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(docs: DataFrame, label: str) -> DataFrame:
+    """row (a number of its own) and doc (the row as it came), stored: a row's identity where ids are null or repeat."""
+    return materialize(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")), label, add_row=True)
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     """Deletes a folder that fresh_path() named, through the file system it lies on."""
     jvm = spark.sparkContext._jvm
