@@ -6,7 +6,7 @@ from fieldledger.llm.language import op5_language_id
 from fieldledger.llm.mixing import op8_mixing
 from fieldledger.llm.ngramjoin import op6_ngram_join
 from fieldledger.llm.packing import op3_best_fit_packing
-from fieldledger.llm.quality import op2_quality_rules
+from fieldledger.llm.quality import ORACLE_OP2, op2_quality_rules
 from fieldledger.llm.tokencount import op9_token_counts
 from fieldledger.llm.topk import op4_top_k
 from fieldledger.llm.toxicity import op10_toxicity
@@ -25,5 +25,6 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
+    "op2_quality_rules": ORACLE_OP2,
     "op7_chat_format": ORACLE_OP7,
 }
