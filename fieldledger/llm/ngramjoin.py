@@ -5,8 +5,11 @@ embedded as a list of minwise hashes, so that the share of equal places estimate
 samples a place of the list and splits the classes by the value there (similar sets share the token at that place with a
 probability equal to their similarity); buckets above the limit are split again on further sampled places, so that a
 path is chosen down to small buckets, whose members are compared by brute force (Christiani and Pagh, "Set similarity
-join"; Christiani, Pagh and Sivertsen). Runs repeat until the target recall: a pair at the threshold is met by one run with
-probability of at least P_RUN, so ceil(log(1 - recall) / log(1 - P_RUN)) runs are made.
+join"; Christiani, Pagh and Sivertsen). The recursion ends where a bucket is small, or where all its members are near
+enough to its first that they are one group already. Runs repeat until the target recall: a pair at the threshold is met
+by one run with probability of at least P_RUN (0.8 for the first place and 0.96 for each of the few levels that a large
+bucket takes, and a pair may also be joined by way of the bucket's first member), so ceil(log(1 - recall) / log(1 -
+P_RUN)) runs are made. The tests measure the recall against all pairs.
 
 Bucket comparisons only find which classes may belong together: they keep edges of a spanning forest, never all pairs.
 Inside the groups that these edges make, all pairs of classes are compared exactly on their whole sets, and each class
@@ -17,24 +20,27 @@ rows is spread over many tasks. A document's class id is the smallest doc_id tha
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldledger.session import materialize, table
+from fieldledger.llm.common import cache, small_batches, take_turn
+from fieldledger.session import broadcast_if_small, materialize, numbered, table
 
 SHINGLE = 5
 THRESHOLD = 0.8
 RECALL = 0.999
 P_RUN = 0.5
 PLACES = 64
-#: Buckets above this are split again, MAX_DEPTH times at most; what is left is compared in blocks.
+#: Buckets above this are split again.
 BUCKET = 64
-MAX_DEPTH = 2
+#: Where a set of like documents is so dense that this many levels have not split it, all pairs of blocks are compared.
+LEVELS = 24
 BLOCK = 512
 #: Members whose lists agree in fewer places than this are not taken further: 4.5 standard errors under the threshold.
 LEAST_SHARE = 0.58
@@ -52,7 +58,7 @@ class WordHashes(dict):
         return got
 
 
-_words = WordHashes()
+_words = cache("ngrams", WordHashes())
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -99,7 +105,8 @@ def digest(found: np.ndarray) -> tuple[int, int]:
 
 
 def _sketched(batches):
-    for batch in batches:
+    take_turn("ngrams")
+    for batch in small_batches(batches):
         hi, lo, sizes, lists = [], [], [], []
         for text in batch.column("text").to_pylist():
             found = shingles(text)
@@ -109,8 +116,8 @@ def _sketched(batches):
             sizes.append(len(found))
             lists.append(sketch(found).tobytes())
         yield pa.RecordBatch.from_arrays(
-            [batch.column("row"), batch.column("doc_id"), pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), pa.array(sizes, pa.int64()), pa.array(lists, pa.binary())],
-            ["row", "doc_id", "hi", "lo", "size", "list"],
+            [batch.column("row"), pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), pa.array(sizes, pa.int64()), pa.array(lists, pa.binary())],
+            ["row", "hi", "lo", "size", "list"],
         )
 
 
@@ -143,31 +150,44 @@ def _bucket_edges(rows: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array(reps[labels[own]], pa.int64()), "b": pa.array(reps[own], pa.int64())})
 
 
+def _agree(one: str, other: str) -> Column:
+    """Equal places of two lists of PLACES values of four bytes."""
+    parts = F.transform(F.sequence(F.lit(1), F.lit(4 * PLACES - 3), F.lit(4)), lambda i: (F.substring(one, i, F.lit(4)) == F.substring(other, i, F.lit(4))).cast("int"))
+    return F.aggregate(parts, F.lit(0), lambda n, x: n + x)
+
+
 def candidate_edges(classes: DataFrame, recall: float = RECALL) -> DataFrame:
     """Edges (a, b) between classes that some bucket of some run holds together. classes: rep, list."""
     runs = max(1, math.ceil(math.log(1 - recall) / math.log(1 - P_RUN)))
     open_ = classes.select(
         "rep", "list", F.explode(F.array(*[F.struct(F.lit(r).alias("run"), F.lit((r * 5 + 1) % PLACES).alias("place")) for r in range(runs)])).alias("at")
     ).select("rep", F.xxhash64("at.run", "at.place", F.expr("substring(list, at.place * 4 + 1, 4)")).alias("path"))
-    edges, lists = None, classes.select("rep", "list")
-    for depth in range(MAX_DEPTH + 1):
-        counts = open_.groupBy("path").agg(F.count("*").alias("members")).filter("members > 1")
-        counts = materialize(counts, f"buckets-{depth}")
-        small = counts if depth == MAX_DEPTH else counts.filter(F.col("members") <= BUCKET)
+    edges, lists, level = [], classes.select("rep", "list"), 0
+    while True:
+        counts = open_.groupBy("path").agg(F.count("*").alias("members"), F.min("rep").alias("first")).filter("members > 1")
+        counts = materialize(counts, f"buckets-{level}")
+        small = counts if level == LEVELS else counts.filter(F.col("members") <= BUCKET)
         leaf = open_.join(small.select("path"), "path").join(lists, "rep")
         cells = _dealt(leaf, "path", small, "rep").select("cell", "rep", "list")
-        got = cells.groupBy("cell").applyInArrow(_bucket_edges, "a long, b long").distinct()
-        got = materialize(got, f"edges-{depth}")
-        edges = got if edges is None else edges.unionByName(got)
+        edges.append(materialize(cells.groupBy("cell").applyInArrow(_bucket_edges, "a long, b long").distinct(), f"edges-{level}"))
         large = counts.filter(F.col("members") > BUCKET)
-        if depth == MAX_DEPTH or not large.take(1):
+        n_large = large.count()
+        if level == LEVELS or not n_large:
             break
+        # each member against the first of its bucket; buckets that are one group by that are done
+        firsts = large.select("path", "first").join(lists.select(F.col("rep").alias("first"), F.col("list").alias("first_list")), "first")
+        firsts = broadcast_if_small(firsts, n_large)
+        held = open_.join(firsts, "path").join(lists, "rep").select("rep", "path", "first", "list", (_agree("list", "first_list") >= LEAST_SHARE * PLACES).alias("near"))
+        held = materialize(held, f"large-{level}")
+        edges.append(held.filter("near AND rep <> first").select(F.col("first").alias("a"), F.col("rep").alias("b")).distinct())
+        mixed = held.groupBy("path").agg(F.count_if(~F.col("near")).alias("far")).filter("far > 0").select("path")
+        mixed = broadcast_if_small(mixed, n_large)
         # two sampled places a bucket: a pair at the threshold shares one of them with probability over 0.95
-        at = F.array(*[F.pmod(F.xxhash64("path", F.lit(k), F.lit(depth)), F.lit(PLACES)).cast("int") for k in range(2)])
-        further = open_.join(large.select("path"), "path").select("rep", "path", F.explode(at).alias("place")).join(lists, "rep")
+        at = F.array(*[F.pmod(F.xxhash64("path", F.lit(k), F.lit(level)), F.lit(PLACES)).cast("int") for k in range(2)])
+        further = held.join(mixed, "path", "left_semi").select("rep", "path", "list", F.explode(F.array_distinct(at)).alias("place"))
         further = further.select("rep", F.xxhash64("path", "place", F.expr("substring(list, place * 4 + 1, 4)")).alias("path"))
-        open_ = materialize(further, f"paths-{depth}")
-    return edges.distinct()
+        open_, level = materialize(further, f"paths-{level}"), level + 1
+    return functools.reduce(DataFrame.unionByName, edges).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -194,8 +214,6 @@ def _exact(threshold: float):
 
     def run(rows: pa.Table) -> pa.Table:
         rows = rows.sort_by("rep")
-        first = np.append(True, np.diff(rows.column("rep").to_numpy()) != 0)  # equal rows of one doc_id came twice
-        rows = rows.filter(pa.array(first))
         reps, own = rows.column("rep").to_numpy(), rows.column("own").to_numpy()
         weight = rows.column("docs").to_numpy()
         sets = [np.frombuffer(s, "<u8") for s in rows.column("set").to_pylist()]
@@ -229,55 +247,53 @@ def _exact(threshold: float):
 
 
 def _sets(batches):
-    """Whole sets of the representatives; a row of the same id with another text is not one."""
-    for batch in batches:
-        kept, found = [], []
-        for k, (text, hi, lo) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("text", "hi", "lo")), strict=True)):
-            own = shingles(text)
-            if digest(own) == (hi, lo):
-                kept.append(k)
-                found.append(own.astype("<u8").tobytes())
-        some = pa.array(kept, pa.int64())
-        yield pa.RecordBatch.from_arrays([batch.column(c).take(some) for c in ("rep", "component", "docs")] + [pa.array(found, pa.binary())], ["rep", "component", "docs", "set"])
-
+    """Whole sets of the representatives."""
+    take_turn("ngrams")
+    for batch in small_batches(batches):
+        found = [shingles(text).astype("<u8").tobytes() for text in batch.column("text").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("rep", "component", "docs")] + [pa.array(found, pa.binary())], ["rep", "component", "docs", "set"])
 
-def similarity_join(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
-    """doc_id, class_id, n_links for each document.
 
-    n_links counts the other documents at or above the threshold, copies included. Texts without a word (null, empty)
-    have no set: each is a class of its own without links. Rows that repeat a doc_id are documents of their own. Ids are
-    whole numbers; a null id stays null, and its class is that of its text.
-    """
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    numbered = docs.select("doc_id", "text").withColumn("row", F.monotonically_increasing_id())
-    rows = materialize(numbered.mapInArrow(_sketched, f"row long, doc_id {kind}, hi long, lo long, size long, list binary"), "lists")
+def _classes(stored: DataFrame, threshold: float, recall: float) -> DataFrame:
+    """row, n_links, class_row of each row of stored (row, doc): class_row is the least row of the class."""
+    texts = stored.select("row", "doc.text")
+    rows = materialize(texts.mapInArrow(_sketched, "row long, hi long, lo long, size long, list binary"), "lists")
     full = rows.filter("size > 0")
     classes = materialize(full.groupBy("hi", "lo").agg(F.min("row").alias("rep"), F.count("*").alias("docs")), "classes")
     lists = classes.select("rep").join(full.select(F.col("row").alias("rep"), "list"), "rep")
-    groups = materialize(components(candidate_edges(lists, recall)), "groups")
+    groups = materialize(components(candidate_edges(materialize(lists, "class-lists"), recall)), "groups")
     sizes = groups.groupBy("component").agg(F.count("*").alias("members"))
-    ids = rows.select(F.col("row").alias("rep"), F.col("doc_id").alias("rep_id"))
-    wanted = groups.withColumnRenamed("node", "rep").join(classes, "rep").join(ids, "rep")
-    sets = docs.select("doc_id", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("rep_id"))).select("rep", "component", "docs", "hi", "lo", "text")
-    sets = sets.mapInArrow(_sets, "rep long, component long, docs long, set binary")
+    wanted = groups.withColumnRenamed("node", "rep").join(classes.select("rep", "docs"), "rep")
+    sets = texts.join(wanted.withColumnRenamed("rep", "row"), "row").withColumnRenamed("row", "rep")
+    sets = sets.select("rep", "component", "docs", "text").mapInArrow(_sets, "rep long, component long, docs long, set binary")
     cells = _dealt(sets, "component", sizes, "rep").select("cell", "rep", "own", "docs", "set")
     found = materialize(cells.groupBy("cell").applyInArrow(_exact(threshold), "rep long, links long, to long"), "links")
     linked = found.groupBy("rep").agg(F.sum("links").alias("links"))
     joined = components(found.filter("to <> rep").select(F.col("rep").alias("a"), F.col("to").alias("b")))
-    return _labelled(rows, classes, linked, joined)
-
-
-def _labelled(rows, classes, linked, joined) -> DataFrame:
     reps = (
         classes.join(linked, "rep", "left")
         .join(joined.withColumnRenamed("node", "rep"), "rep", "left")
         .select("hi", "lo", (F.coalesce("links", F.lit(0)) + F.col("docs") - 1).alias("n_links"), F.coalesce("component", "rep").alias("class_row"))
     )
-    members = rows.filter("size > 0").select("row", "hi", "lo").join(reps, ["hi", "lo"]).select("row", "n_links", "class_row")
+    members = full.select("row", "hi", "lo").join(reps, ["hi", "lo"]).select("row", "n_links", "class_row")
     alone = rows.filter("size = 0").select("row", F.lit(0).cast("long").alias("n_links"), F.col("row").alias("class_row"))
-    told = rows.select("row", "doc_id").join(members.unionByName(alone), "row")
-    ids = told.groupBy("class_row").agg(F.min("doc_id").alias("class_id"))
-    return told.join(ids, "class_row").select("doc_id", "class_id", "n_links", "row", "class_row")
+    return materialize(members.unionByName(alone), "members")
+
+
+def similarity_join(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
+    """doc_id, class_id, n_links for each row of docs (doc_id, text; further columns are not looked at).
+
+    n_links counts the other rows at or above the threshold, copies included. class_id is the least doc_id of the class;
+    it is null only where all ids of the class are. Texts without a word (null, empty) have no set: each is a class of
+    its own without links. Rows are told apart by a number of their own, so rows that repeat a doc_id, or have none, are
+    documents of their own. A pair whose similarity is the threshold is linked. An empty table gives no rows.
+    """
+    stored = numbered(docs.select("doc_id", "text"), "documents")
+    told = stored.select("row", "doc.doc_id").join(_classes(stored, threshold, recall), "row")
+    ids = told.groupBy("class_row").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    ids = materialize(ids, "class-ids")
+    shared = told.join(broadcast_if_small(ids, ids.count()), "class_row", "left")
+    return shared.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), "n_links")
 
 
 def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -285,7 +301,28 @@ def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
-    """The documents whose id is the least of their class; columns as they came. Rows that share that id all stay."""
-    gone = similarity_join(docs, **options).filter(~F.col("doc_id").eqNullSafe(F.col("class_id")))
-    gone = gone.select(F.col("doc_id").alias("gone_id")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["gone_id"], "left_anti")
+    """One row of each class, that with the least doc_id (null last, then as they came); columns as they came, of any names.
+
+    Rows with equal ids and different texts are different documents and stay; all rows without a word stay.
+    """
+    stored = numbered(docs, "documents")
+    rows = _classes(stored, options.get("threshold", THRESHOLD), options.get("recall", RECALL))
+    told = stored.select("row", "doc.doc_id").join(rows, "row")
+    first = told.groupBy("class_row").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first"))
+    kept = first.select(F.col("first.row").alias("row"))
+    return stored.join(kept, "row").select(*[F.col(f"doc.`{c}`") for c in docs.columns])
+
+
+ORACLE_OP6 = rf"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '\s+'), lambda x: x <> '') AS w FROM documents),
+s AS (
+  SELECT DISTINCT r, array_to_string(list_slice(w, i, i + {SHINGLE - 1}), ' ') AS g
+  FROM (SELECT r, w, unnest(range(1, greatest(len(w) - {SHINGLE - 2}, 2))) AS i FROM d WHERE len(w) > 0)),
+sizes AS (SELECT r, count(*) AS n FROM s GROUP BY r),
+both_ AS (SELECT a.r AS a, b.r AS b, count(*) AS n FROM s a JOIN s b ON a.g = b.g AND a.r <> b.r GROUP BY a.r, b.r),
+links AS (
+  SELECT a, b FROM both_ JOIN sizes x ON x.r = a JOIN sizes y ON y.r = b WHERE both_.n >= {THRESHOLD} * (x.n + y.n - both_.n) - 1e-9),
+reach AS (SELECT r AS a, r AS b FROM d UNION SELECT reach.a, links.b FROM reach JOIN links ON links.a = reach.b),
+classes AS (SELECT a AS r, min(doc_id) AS class_id FROM reach JOIN d ON d.r = reach.b GROUP BY a)
+SELECT doc_id, class_id, (SELECT count(*) FROM links WHERE a = d.r) AS n_links FROM d JOIN classes USING (r)
+"""

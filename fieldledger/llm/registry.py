@@ -4,7 +4,7 @@ from fieldledger.llm.chat import ORACLE_OP7, op7_chat_format
 from fieldledger.llm.idstore import op1_id_store
 from fieldledger.llm.language import op5_language_id
 from fieldledger.llm.mixing import op8_mixing
-from fieldledger.llm.ngramjoin import op6_ngram_join
+from fieldledger.llm.ngramjoin import ORACLE_OP6, op6_ngram_join
 from fieldledger.llm.packing import op3_best_fit_packing
 from fieldledger.llm.quality import ORACLE_OP2, op2_quality_rules
 from fieldledger.llm.tokencount import op9_token_counts
@@ -26,5 +26,6 @@ QUERIES = {
 
 ORACLES: dict[str, str] = {
     "op2_quality_rules": ORACLE_OP2,
+    "op6_ngram_join": ORACLE_OP6,
     "op7_chat_format": ORACLE_OP7,
 }
