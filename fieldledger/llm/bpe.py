@@ -176,6 +176,11 @@ class Encoder:
         return np.frombuffer(self.heads[first] + b"".join(map(self.pieces.__getitem__, rest)), self.dtype)
 
 
+    def encode_many(self, texts: list) -> list[np.ndarray]:
+        """ids of each text; a null is empty."""
+        return [self.encode(t or "") for t in texts]
+
+
 @lru_cache(maxsize=4)
 def encoder(path: str) -> Encoder:
     """One per worker process and file."""

@@ -99,7 +99,8 @@ def _sized(docs: DataFrame) -> DataFrame:
 
 
 def draw():
-    return F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(SEED))
+    """By id and text: rows without an id, or with one id, are not drawn together unless they are equal."""
+    return F.xxhash64("doc_id", F.coalesce("text", F.lit("")), F.lit(SEED))
 
 
 def plan_mix(sized: DataFrame, target: float = TARGET, max_repeats: float = MAX_REPEATS, budget: float | None = None) -> tuple[DataFrame, DataFrame]:
@@ -144,9 +145,10 @@ def plan_mix(sized: DataFrame, target: float = TARGET, max_repeats: float = MAX_
 def mix(docs: DataFrame, **options) -> DataFrame:
     """docs with epoch, block, place and weight, a row for each time a document is used.
 
-    place orders all rows so that every stretch has the target weights. A null source is a source of its own (the empty
-    name), a document without words costs nothing and is used in each whole epoch; rows that repeat a doc_id are drawn
-    together. An empty table gives no rows.
+    place orders all rows so that every stretch has the target weights; equal places are ordered by nothing further. A
+    null source is a source of its own (the empty name), a document without words costs nothing and is used in each whole
+    epoch. Rows that repeat both doc_id and text are drawn together; a null doc_id is an id like others. Further columns
+    pass through, whatever their names (a column named like one that mix adds comes twice). An empty table gives no rows.
     """
     sized = materialize(_sized(docs), "sized")
     sources, blocks = plan_mix(sized, **options)

@@ -4,8 +4,9 @@ Documents are tokenised once, cut where they are longer than a sequence, and wri
 is planned on the histogram of piece lengths, which has at most `capacity` entries whatever the corpus: a bin is filled
 greedily with the longest length that fits, then its smallest document is replaced by two unpacked ones that fill the
 gap that this opens more tightly; the finished bin is a pattern, repeated as often as the counts allow. Pieces find
-their place by rank among those of their length: ranks are counted inside salted groups of a few hundred rows and
-shifted by the counts of the groups before, so a length that a third of all documents share is no hot spot. The plan has
+their place by rank among those of their length: ranks are counted inside salted groups and shifted by the counts of the
+groups before; of n pieces of one length, some sqrt(n) groups have some sqrt(n) rows each, so a length that a third of
+all documents share is no hot spot. Pieces are told apart by a number of their own. The plan has
 at most a few patterns for each length and goes to the executors in the task's closure.
 """
 
@@ -21,11 +22,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fieldledger.llm.bpe import encoder
+from fieldledger.llm.common import small_batches, take_turn
 from fieldledger.session import materialize, table
 
 CAPACITY = 2048
 END_ID = 0
-#: Rows that a group of equal lengths has, about, where ranks are counted.
+#: Rows of one length that are ranked without groups.
 GROUP_ROWS = 256
 
 
@@ -129,12 +131,13 @@ def slots(patterns: list[Pattern]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def _cut(path: str, capacity: int, end_id: int):
     def run(batches):
-        encode = encoder(path).encode
-        for batch in batches:
+        take_turn("encoder")
+        encode_many = encoder(path).encode_many
+        for batch in small_batches(batches):
             ids = batch.column("doc_id").to_pylist()
             out: list[list] = [[], [], [], [], []]
-            for doc_id, text in zip(ids, batch.column("text").to_pylist(), strict=True):
-                tokens = np.append(encode(text or "").astype("<u4"), np.uint32(end_id)).astype("<u4")
+            for doc_id, got in zip(ids, encode_many(batch.column("text").to_pylist()), strict=True):
+                tokens = np.append(got.astype("<u4"), np.uint32(end_id)).astype("<u4")
                 for piece, start in enumerate(range(0, len(tokens), capacity)):
                     part = tokens[start : start + capacity]
                     for column, x in zip(out, (doc_id, piece, start, len(part), zlib.crc32(part.tobytes())), strict=True):
@@ -156,20 +159,20 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = E
 
 
 def assign(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """Adds sequence_id and offset to pieces; they are read three times, so they should be stored."""
-    counted = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}
+    """Adds sequence_id and offset to stored pieces, which have a row number; they are read three times."""
+    counted = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}  # capacity rows at most
     keys, seqs, offsets = slots(plan(counted, capacity))
     groups = F.lit(1)
-    big = {k: math.ceil(n / GROUP_ROWS) for k, n in counted.items() if n > GROUP_ROWS}
+    big = {k: math.ceil(math.sqrt(n) / 4) for k, n in counted.items() if n > GROUP_ROWS}
     if big:
         many = F.create_map(*[F.lit(x) for kv in big.items() for x in kv])
         groups = F.coalesce(F.try_element_at(many, F.col("length").cast("int")), F.lit(1))
-    salted = cut.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), groups.cast("long")))
+    salted = cut.withColumn("salt", F.pmod(F.xxhash64("row"), groups.cast("long")))
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     bases = (
         salted.groupBy("length", "salt").agg(F.count("*").alias("c")).select("length", "salt", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("base"))
     )
-    inside = Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32")
+    inside = Window.partitionBy("length", "salt").orderBy("row")
     ranked = (
         salted.withColumn("rank", F.row_number().over(inside) - 1)
         .join(bases, ["length", "salt"])
@@ -193,8 +196,12 @@ def assign(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
 
 def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
-    """A row a piece with its sequence and place. Equal pieces may change places; repeated rows are packed each."""
-    return assign(materialize(pieces(docs, path, capacity, end_id), "pieces"), capacity)
+    """A row a piece with its sequence and place. docs: doc_id, text; further columns are not looked at.
+
+    A null or empty text is the end id alone. Rows that repeat a doc_id, null ones too, are packed each. Pieces of one
+    length are interchangeable: which takes which place is not defined beyond that. An empty table gives no rows.
+    """
+    return assign(materialize(pieces(docs, path, capacity, end_id), "pieces", add_row=True), capacity)
 
 
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
