@@ -1,30 +1,36 @@
 """Fixed values of the notebook's grammar."""
 
 # Known code prefixes and how often each was observed.
-PREFIX_COUNTS_TEXT = """
-LA 3, PSA 23, SAA 4, SAG 2, SAH 3, SAJ 1, SAL 5, SAP 8, SAS 4, SAT 2, SAU 1, SAY 3, SC 1, SCA 8, SCC 8, SCE 6, SCF 9,
-SCG 6, SCH 1, SCI 3, SCJ 10, SCL 19, SCO 70, SCP 34, SCS 5, SCT 23, SCU 6, SE 1, SEA 20, SEC 1, SEE 29, SEF 4, SEG 43,
-SEJ 1, SEL 26, SEO 12, SEP 6, SES 16, SET 21, SEU 15, SEY 5, SFA 16, SFC 43, SFE 46, SFF 32, SFG 14, SFH 11, SFI 10,
-SFJ 9, SFL 50, SFO 19, SFP 19, SFS 14, SFT 13, SFU 9, SFY 40, SGA 18, SGC 16, SP 1, SX 1, SY 1, TS 3, TT 4, TY 2, TZ 3
-"""
-PREFIX_COUNTS = {p: int(n) for p, n in (x.split() for x in PREFIX_COUNTS_TEXT.replace("\n", " ").split(","))}
+PREFIX_COUNTS = {
+    "LA": 3, "PSA": 23, "SAA": 4, "SAG": 2, "SAH": 3, "SAJ": 1, "SAL": 5, "SAP": 8, "SAS": 4, "SAT": 2, "SAU": 1,
+    "SAY": 3, "SC": 1, "SCA": 8, "SCC": 8, "SCE": 6, "SCF": 9, "SCG": 6, "SCH": 1, "SCI": 3, "SCJ": 10, "SCL": 19,
+    "SCO": 70, "SCP": 34, "SCS": 5, "SCT": 23, "SCU": 6, "SE": 1, "SEA": 20, "SEC": 1, "SEE": 29, "SEF": 4, "SEG": 43,
+    "SEJ": 1, "SEL": 26, "SEO": 12, "SEP": 6, "SES": 16, "SET": 21, "SEU": 15, "SEY": 5, "SFA": 16, "SFC": 43, "SFE": 46,
+    "SFF": 32, "SFG": 14, "SFH": 11, "SFI": 10, "SFJ": 9, "SFL": 50, "SFO": 19, "SFP": 19, "SFS": 14, "SFT": 13, "SFU": 9,
+    "SFY": 40, "SGA": 18, "SGC": 16, "SP": 1, "SX": 1, "SY": 1, "TS": 3, "TT": 4, "TY": 2, "TZ": 3,
+}
 
 # Letters that a digit glyph may stand for, most likely first.
 DIGIT_AS_LETTERS = {
-    "0": "ODQU", "1": "ILTJ", "2": "ZR", "3": "BE", "4": "AYU", "5": "S", "6": "GCL", "7": "TIFJY", "8": "BS", "9": "GPJYA",
+    "0": ["O", "D", "Q", "U"], "1": ["I", "L", "T", "J"], "2": ["Z", "R"], "3": ["B", "E"], "4": ["A", "Y", "U"],
+    "5": ["S"], "6": ["G", "C", "L"], "7": ["T", "I", "F", "J", "Y"], "8": ["B", "S"], "9": ["G", "P", "J", "Y", "A"],
 }
 
 # Digits that a letter glyph may stand for, most likely first.
 LETTER_AS_DIGITS = {
-    "O": "0", "D": "0", "Q": "0", "U": "04", "I": "1", "L": "1", "T": "71", "J": "17", "Z": "2", "R": "2", "B": "83",
-    "E": "3", "A": "49", "V": "4", "Y": "479", "S": "5", "G": "69", "C": "60", "F": "7", "P": "9",
+    "O": ["0"], "D": ["0"], "Q": ["0"], "U": ["0", "4"], "I": ["1"], "L": ["1"], "T": ["7", "1"], "J": ["1", "7"],
+    "Z": ["2"], "R": ["2"], "B": ["8", "3"], "E": ["3"], "A": ["4", "9"], "V": ["4"], "Y": ["4", "7", "9"], "S": ["5"],
+    "G": ["6", "9"], "C": ["6", "0"], "F": ["7"], "P": ["9"],
 }
 
 # Letters that a letter glyph may stand for besides itself, most likely first.
 LETTER_AS_LETTERS = {
-    "T": "IJFY", "I": "TJL", "J": "TIY", "E": "FCL", "F": "EPT", "C": "GOEL", "G": "COQS", "O": "DQCU", "D": "OPB",
-    "U": "VONW", "V": "UY", "S": "GZ", "A": "HRU", "P": "FRD", "L": "ICE", "Y": "TVJ", "H": "ANK", "M": "NW", "N": "MHU",
-    "B": "RDP", "R": "PBK", "K": "RH", "X": "KY", "W": "MV", "Q": "OG", "Z": "SQ",
+    "T": ["I", "J", "F", "Y"], "I": ["T", "J", "L"], "J": ["T", "I", "Y"], "E": ["F", "C", "L"], "F": ["E", "P", "T"],
+    "C": ["G", "O", "E", "L"], "G": ["C", "O", "Q", "S"], "O": ["D", "Q", "C", "U"], "D": ["O", "P", "B"],
+    "U": ["V", "O", "N", "W"], "V": ["U", "Y"], "S": ["G", "Z"], "A": ["H", "R", "U"], "P": ["F", "R", "D"],
+    "L": ["I", "C", "E"], "Y": ["T", "V", "J"], "H": ["A", "N", "K"], "M": ["N", "W"], "N": ["M", "H", "U"],
+    "B": ["R", "D", "P"], "R": ["P", "B", "K"], "K": ["R", "H"], "X": ["K", "Y"], "W": ["M", "V"], "Q": ["O", "G"],
+    "Z": ["S", "Q"],
 }
 
 # Fixed values: (letters, digits) of a code, most likely first; edits allowed; width of the search; candidates kept.
