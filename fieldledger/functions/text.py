@@ -46,8 +46,11 @@ def meter_ditto_digits(x: Column) -> Column:
     return F.regexp_extract(collapse(x), f"(?U)^{mark}+(\\d{{4,6}})$", 1)
 
 
-def is_section_marker(x: Column) -> Column:
-    return once(collapse(x), lambda c: (c != "") & c.rlike("(?iU)" + "|".join(f"(?:{m})" for m in fixed.SECTION_MARKERS)))
+def is_section_marker(x: Column, patterns: tuple[str, ...] = fixed.SECTION_MARKERS) -> Column:
+    """Whether a line is a mark of a section, by any of the patterns; without patterns none is."""
+    if not patterns:
+        return F.lit(False)
+    return once(collapse(x), lambda c: (c != "") & c.rlike("(?iU)" + "|".join(f"(?:{m})" for m in patterns)))
 
 
 def has_pointer(x: Column) -> Column:
@@ -215,7 +218,7 @@ def postprocess(field: Column, x: Column) -> Column:
 
 def digit_alternatives(glyph: Column) -> Column:
     """For review: the digits that a glyph may stand for, its own first."""
-    table = F.create_map(*[F.lit(v) for k, d in fixed.LETTER_AS_DIGITS.items() for v in (k, d)])
+    table = F.create_map(*[F.lit(v) for k, d in fixed.LETTER_AS_DIGITS.items() for v in (k, "".join(d))])
     found = F.coalesce(F.try_element_at(table, F.upper(glyph)), F.lit(""))
     return F.when(glyph.rlike("^[0-9]$"), F.array(glyph)).otherwise(F.filter(F.split(found, ""), lambda d: d != ""))
 
@@ -258,5 +261,26 @@ def render_code(x: Column) -> Column:
     return F.regexp_replace(blank(x), "^([A-Z]+)([0-9]+)$", "$1 $2")
 
 
+def split_remark(remark: Column) -> Column:
+    """struct<text, codes>: a workbook remark (struct<text, number>) back to the body and the side codes it was joined from."""
+    shown = F.coalesce(remark["text"], remark["number"].cast("string"), F.lit(""))
+
+    def split(parts: Column) -> Column:
+        is_code = lambda p: F.trim(p).rlike("^-[0-9]+$")
+        return F.struct(
+            F.array_join(F.filter(parts, lambda p: ~is_code(p) & (F.trim(p) != "")), ",").alias("text"),
+            F.transform(F.filter(parts, is_code), lambda p: F.trim(p)).alias("codes"),
+        )
+
+    return once(F.split(shown, ","), split)
+
+
+def safe_name(x: Column, otherwise: str) -> Column:
+    """A file name without folders, ending in .xlsx; blank gives the other name."""
+    name = F.when(F.trim(blank(x)) == "", F.lit(otherwise)).otherwise(F.trim(blank(x)))
+    named = F.when(F.lower(name).endswith(".xlsx"), name).otherwise(F.concat(name, F.lit(".xlsx")))
+    return F.regexp_extract(named, "([^/]*)$", 1)
+
+
 def suffixed_path(path: Column, suffix: str) -> Column:
     return F.regexp_replace(path, "^(.*?)(\\.[^./]*)?$", "$1" + re.escape(suffix).replace("\\", "") + "$2")

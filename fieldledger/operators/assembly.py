@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from fieldledger.functions import fixed, text as t
 from fieldledger.session import broadcast_if_small
@@ -15,11 +16,21 @@ def batch_window() -> Window:
     return Window.partitionBy(BATCH).orderBy("page_ord", "row_index")
 
 
-def order_pages(rows: DataFrame) -> DataFrame:
-    """batch_id, page_no, page_ord: by the first number that a page shows; pages without one last, as they came."""
+def _shown() -> Column:
     number = t.survey_number(F.col("survey.text"))
-    shown = F.when(F.col("is_group_first") & number.isNotNull(), F.struct("row_index", number.alias("n")))
-    pages = rows.groupBy(BATCH, "page_no").agg(F.min(shown).alias("first"))
+    return F.when(F.col("is_group_first") & number.isNotNull(), F.struct("row_index", number.alias("n")))
+
+
+def place_pages(rows: DataFrame) -> DataFrame:
+    """Adds page_ord: pages by the first number that they show; those without one last, as they came."""
+    found = rows.withColumn("_first", F.min(_shown()).over(Window.partitionBy(BATCH, "page_no")))
+    order = Window.partitionBy(BATCH).orderBy(F.col("_first.n").asc_nulls_last(), "page_no")
+    return found.withColumn("page_ord", (F.dense_rank().over(order) - 1).cast("long")).drop("_first")
+
+
+def order_pages(rows: DataFrame) -> DataFrame:
+    """batch_id, page_no, page_ord, first_survey: the order of pages as place_pages has it."""
+    pages = rows.groupBy(BATCH, "page_no").agg(F.min(_shown()).alias("first"))
     order = Window.partitionBy(BATCH).orderBy(F.col("first.n").asc_nulls_last(), "page_no")
     return pages.select(BATCH, "page_no", (F.row_number().over(order) - 1).cast("long").alias("page_ord"), F.col("first.n").alias("first_survey"))
 
@@ -31,33 +42,31 @@ def skip_reason() -> Column:
 
 
 def assign_groups(rows: DataFrame) -> DataFrame:
-    """Adds group_id and opens (the row starts a group); a number repeated after itself goes on with its group.
+    """Adds group_id, opens (the row starts a group) and governing; a number repeated after itself goes on with its group.
 
-    Rows before the first number are a group of their own, 0.
+    Such a row is no longer the first of a group, and its survey cell (if there is one) notes why. Rows before the first
+    number are a group of their own, 0.
     """
     w = batch_window()
     earlier = F.last(F.col("group_survey"), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    work = rows.withColumn("_earlier", earlier)
-    opens = F.col("is_group_first") & ~F.col("group_survey").eqNullSafe(F.col("_earlier"))
-    work = work.withColumn("opens", opens)
+    work = rows.withColumn("_again", F.col("is_group_first") & F.col("group_survey").eqNullSafe(earlier))
+    work = work.withColumn("opens", F.col("is_group_first") & ~F.col("_again")).withColumn("is_group_first", F.col("opens"))
+    if any(f.name == "survey" and isinstance(f.dataType, StructType) for f in rows.schema):
+        noted = F.array_union("survey.rules", F.array(F.lit("group_continues_across_pages")))
+        work = work.withColumn("survey", F.when(F.col("_again"), F.col("survey").withField("rules", noted)).otherwise(F.col("survey")))
     starts = F.col("opens") | (F.row_number().over(w) == 1)
     count = F.sum(starts.cast("long")).over(w.rowsBetween(Window.unboundedPreceding, 0))
     governing = F.last(F.col("group_survey"), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    return work.withColumn("group_id", count - 1).withColumn("governing", governing).drop("_earlier")
+    return work.withColumn("group_id", count - 1).withColumn("governing", governing).drop("_again")
 
 
 def bind_remarks(rows: DataFrame, joiner: str = fixed.REMARK_JOINER) -> DataFrame:
     """Adds bound (the group's free-standing remarks, joined in row order), n_bound and first_of_group."""
-    group = Window.partitionBy(BATCH, "group_id")
-    free = F.when((F.size("codes") == 0) & (F.col("remarks.text") != ""), F.struct("page_ord", "row_index", F.col("remarks.text").alias("text")))
-    parts = rows.filter(free.isNotNull()).groupBy(BATCH, "group_id").agg(
-        F.transform(F.sort_array(F.collect_list(free)), lambda x: x["text"]).alias("_parts")
-    )
-    first = F.row_number().over(group.orderBy("page_ord", "row_index")) == 1
-    out = rows.withColumn("first_of_group", first).join(parts, [BATCH, "group_id"], "left")
-    return out.withColumn("bound", F.array_join(F.coalesce("_parts", F.array().cast("array<string>")), joiner)).withColumn(
-        "n_bound", F.coalesce(F.size("_parts"), F.lit(0))
-    ).drop("_parts")
+    group = Window.partitionBy(BATCH, "group_id").orderBy("page_ord", "row_index")
+    free = F.when((F.size("codes") == 0) & (F.col("remarks.text") != ""), F.col("remarks.text"))
+    parts = F.collect_list(free).over(group.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    out = rows.withColumn("first_of_group", F.row_number().over(group) == 1).withColumn("_parts", parts)
+    return out.withColumn("bound", F.array_join("_parts", joiner)).withColumn("n_bound", F.size("_parts")).drop("_parts")
 
 
 def output_rows(rows: DataFrame) -> DataFrame:
@@ -79,12 +88,17 @@ def output_rows(rows: DataFrame) -> DataFrame:
     )
 
 
-def assemble(corrected: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(output rows, skipped rows with their reason) of corrected pages. Nothing vanishes: each row is in one of them."""
-    placed = corrected.join(order_pages(corrected).select(BATCH, "page_no", "page_ord"), [BATCH, "page_no"])
-    routed = placed.withColumn("reason", skip_reason())
+def grouped(corrected: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(lines with their groups and bound remarks, skipped lines with their reason). Nothing vanishes: each line is in one of them."""
+    routed = place_pages(corrected).withColumn("reason", skip_reason())
     kept = routed.filter("reason IS NULL").drop("reason")
-    return output_rows(bind_remarks(assign_groups(kept))), routed.filter("reason IS NOT NULL")
+    return bind_remarks(assign_groups(kept)), routed.filter("reason IS NOT NULL")
+
+
+def assemble(corrected: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(output rows, skipped rows with their reason) of corrected pages."""
+    kept, skipped = grouped(corrected)
+    return output_rows(kept), skipped
 
 
 def audit_surveys(rows: DataFrame, known_gaps: DataFrame | None = None) -> DataFrame:
@@ -117,9 +131,10 @@ def audit_row_counts(corrected: DataFrame, expected: DataFrame) -> DataFrame:
     )
 
 
-def audit_all(rows: DataFrame, corrected: DataFrame | None = None, expected: DataFrame | None = None) -> DataFrame:
+def audit_all(rows: DataFrame, corrected: DataFrame | None = None, expected: DataFrame | None = None, known_gaps: DataFrame | None = None) -> DataFrame:
     """batch_id, kind, finding: all findings as text."""
-    surveys = audit_surveys(rows)
+    # The wording of the findings.
+    surveys = audit_surveys(rows, known_gaps)
     missing = F.col("current") - F.col("previous") - 1
     text = F.when(
         F.col("kind") == "gap",
@@ -146,19 +161,25 @@ def survey_range(rows: DataFrame) -> DataFrame:
 
 
 def summary(rows: DataFrame, skipped: DataFrame) -> DataFrame:
-    """batch_id, metric, value."""
+    """batch_id, metric, value; a batch of which all lines are skipped has its metrics, too."""
+    names = ["rows", "groups", "needs_review", "corrected", "remarked", "numeric_remarks", "text_remarks", "skipped"]
     counts = rows.groupBy(BATCH).agg(
         F.count("*").alias("rows"),
         F.count_if(F.col("survey").isNotNull()).alias("groups"),
         F.count_if(F.col("status") == "manual_review").alias("needs_review"),
         F.count_if(F.col("status") == "corrected").alias("corrected"),
+        F.count_if(F.col("remark.number").isNotNull() | F.col("remark.text").isNotNull()).alias("remarked"),
         F.count_if(F.col("remark.number").isNotNull()).alias("numeric_remarks"),
         F.count_if(F.col("remark.text").isNotNull()).alias("text_remarks"),
     )
     out = skipped.groupBy(BATCH).agg(F.count("*").alias("skipped"))
-    wide = counts.join(out, BATCH, "left").fillna(0, ["skipped"])
-    names = ["rows", "groups", "needs_review", "corrected", "numeric_remarks", "text_remarks", "skipped"]
-    return wide.unpivot([BATCH], names, "metric", "value")
+    return counts.join(out, BATCH, "full").fillna(0, names).unpivot([BATCH], names, "metric", "value")
+
+
+def orphan_remarks(rows: DataFrame) -> DataFrame:
+    """batch_id, page_no, row_index, remark: free-standing remarks of rows before a batch's first number, which no group shows. rows: of grouped()."""
+    lost = rows.filter((F.col("group_id") == 0) & F.col("governing").isNull() & (F.size("codes") == 0) & (F.col("remarks.text") != ""))
+    return lost.select(BATCH, "page_no", "row_index", F.col("remarks.text").alias("remark"))
 
 
 def unpivot_cells(corrected: DataFrame) -> DataFrame:

@@ -8,14 +8,31 @@ changes: one round where every base prefix is known and every inherited run has
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldledger.functions import fixed, text as t
-from fieldledger.operators.codes import match_token, with_repairs
+from fieldledger.operators.codes import token_of_raw, with_repairs
 from fieldledger.session import materialize
 
 PAGE = ("batch_id", "page_no")
+FIELDS = ("survey", "meter", "remarks")
+
+
+@dataclass(frozen=True)
+class Rules:
+    """What a run may configure: patterns of section markers, placeholders, and the confidence under which a cell is reviewed."""
+
+    markers: tuple[str, ...] = fixed.SECTION_MARKERS
+    tokens: tuple = fixed.PLACEHOLDERS
+    token_distance: int = fixed.TOKEN_DISTANCE
+    low_confidence: float = 0.5
+
+
+PLAIN = Rules()
+
 NONE = "array<string>"
 
 
@@ -31,11 +48,12 @@ def _rules(*named: tuple[Column, str]) -> Column:
     return F.filter(F.array(*[F.when(when, name) for when, name in named]), lambda r: r.isNotNull())
 
 
-def resolve_meters(rows: DataFrame, inherited: str) -> DataFrame:
+def resolve_meters(rows: DataFrame, inherited: str, rules: Rules = PLAIN) -> DataFrame:
     """Adds meter struct<text, status, candidates, rules> for meter_raw, given the inherited prefix (may be null)."""
     raw = t.collapse(F.col("meter_raw"))
-    work = rows.withColumn("_raw", raw).withColumn("_marker", t.is_section_marker(F.col("_raw")))
-    work = work.withColumn("_token", F.when(~F.col("_raw").rlike("(?U)\\d"), match_token(F.col("_raw"))))
+    work = rows.withColumn("_raw", raw).withColumn("_marker", t.is_section_marker(F.col("_raw"), rules.markers))
+    token = token_of_raw(rules.tokens, rules.token_distance)
+    work = work.withColumn("_token", F.when(~F.col("_raw").rlike("(?U)\\d"), token))
     work = work.withColumn("_run", t.meter_ditto_digits(F.col("_raw")))
     ditto = F.col("_run") != ""
     work = work.withColumn("_lost", ditto & F.col(inherited).isNull())
@@ -49,7 +67,7 @@ def resolve_meters(rows: DataFrame, inherited: str) -> DataFrame:
     best = F.get("_found", F.lit(0))
     fixed_rules = ((ditto, "ditto_meter"), (F.col("_fix.corrected"), "struck_out_correction"))
     edits = F.when(best["edits"] > 0, F.concat(F.lit("repair_"), best["edits"].cast("string"), F.lit("_edit")))
-    rules = F.concat(_rules(*fixed_rules), F.when(edits.isNotNull(), F.array(edits)).otherwise(_none()))
+    applied = F.concat(_rules(*fixed_rules), F.when(edits.isNotNull(), F.array(edits)).otherwise(_none()))
     cell = (
         F.when(F.col("_raw") == "", t._cell(F.lit(""), F.lit("empty"), _none(), _none()))
         .when(F.col("_marker"), t._cell(F.lit(""), F.lit("skipped"), _none(), F.array(F.lit("section_marker"))))
@@ -72,7 +90,7 @@ def resolve_meters(rows: DataFrame, inherited: str) -> DataFrame:
             ),
         )
         .otherwise(
-            t._cell(best["text"], F.when(F.size(rules) > 0, "corrected").otherwise("ok"), F.transform(F.slice("_found", 2, fixed.KEPT), lambda r: r["text"]), rules)
+            t._cell(best["text"], F.when(F.size(applied) > 0, "corrected").otherwise("ok"), F.transform(F.slice("_found", 2, fixed.KEPT), lambda r: r["text"]), applied)
         )
     )
     return work.withColumn("meter", cell).drop("_raw", "_marker", "_token", "_run", "_lost", "_code", "_fix", "_code2", "_found")
@@ -83,18 +101,25 @@ def observed_prefix(meter_text: Column) -> Column:
     return F.when(got != "", got)
 
 
-def fill_meters(lines: DataFrame, most_rounds: int = 64) -> DataFrame:
-    """Adds meter, with repeat marks resolved; rounds go on while some inherited prefix changes."""
-    rows = lines.withColumn("_inherited", F.lit(None).cast("string"))
-    for _ in range(most_rounds):
-        rows = resolve_meters(rows, "_inherited")
+def fill_meters(lines: DataFrame, rules: Rules = PLAIN) -> DataFrame:
+    """Adds meter, with repeat marks resolved.
+
+    Every line is resolved once by itself. Lines that inherit are resolved again with the prefix that reaches them, until
+    none gets another prefix than before: once where all prefixes are known ones. Only those lines are dealt with again,
+    and each round settles at least the first unsettled line of every page, so the rounds end.
+    """
+    rows = resolve_meters(lines.withColumn("_inherited", F.lit(None).cast("string")).withColumn("_inherits", _inherits()), "_inherited", rules)
+    rows = materialize(rows, "meters")
+    while True:
         # a line that inherits passes on what it is given until it is resolved itself
         given = F.last(observed_prefix(F.col("meter.text")), ignorenulls=True).over(above())
-        rows = materialize(rows.withColumn("_given", given), "meters")
-        if rows.filter(~F.col("_given").eqNullSafe(F.col("_inherited")) & _inherits()).isEmpty():
-            break
-        rows = rows.withColumn("_inherited", F.col("_given")).drop("meter", "_given")
-    return rows.drop("_inherited", "_given")
+        told = rows.withColumn("_given", given)
+        changed = told.filter(F.col("_inherits") & ~F.col("_given").eqNullSafe(F.col("_inherited")))
+        if changed.isEmpty():
+            return rows.drop("_inherited", "_inherits")
+        again = changed.drop("meter", "_inherited").withColumnRenamed("_given", "_inherited")
+        kept = told.filter(~F.col("_inherits") | F.col("_given").eqNullSafe(F.col("_inherited"))).drop("_given")
+        rows = materialize(kept.unionByName(resolve_meters(again, "_inherited", rules)), "meters")
 
 
 def _inherits() -> Column:
@@ -103,10 +128,10 @@ def _inherits() -> Column:
     return (t.meter_ditto_digits(raw) != "") | raw.rlike("(?U)^[^A-Za-z]*\\d.*\\d")
 
 
-def correct_remarks(lines: DataFrame) -> DataFrame:
+def correct_remarks(lines: DataFrame, rules: Rules = PLAIN) -> DataFrame:
     """Adds remarks struct<text, status, candidates, rules> and codes array<string>."""
     raw = t.collapse(F.col("remarks_raw"))
-    work = lines.withColumn("_raw", raw).withColumn("_marker", t.is_section_marker(F.col("_raw"))).withColumn("_foreign", t.has_non_latin(F.col("_raw")))
+    work = lines.withColumn("_raw", raw).withColumn("_marker", t.is_section_marker(F.col("_raw"), rules.markers)).withColumn("_foreign", t.has_non_latin(F.col("_raw")))
     work = work.withColumn("_plain", t.strip_non_latin(F.col("_raw"))).withColumn("_ditto", t.is_ditto(F.col("_plain")))
     base = ~F.col("_marker") & ~F.col("_ditto") & (F.col("_plain") != "")
     kept = t.extract_codes(F.col("_plain"))["residual"]
@@ -134,13 +159,31 @@ def correct_remarks(lines: DataFrame) -> DataFrame:
     return work.withColumn("remarks", cell).withColumn("codes", codes).drop("_raw", "_marker", "_foreign", "_plain", "_ditto", "_above", "_split")
 
 
-def correct_page(lines: DataFrame) -> DataFrame:
-    """All cells of all pages corrected, with codes, group_survey, is_group_first and row_status."""
-    rows = correct_remarks(fill_meters(lines)).withColumn("survey", t.correct_survey(t.strip_survey_prefix(F.col("survey_raw"))))
+def flag_low(rows: DataFrame, rules: Rules = PLAIN) -> DataFrame:
+    """Cells that are settled but were read with little confidence become low_confidence, with a note; <field>_conf is theirs."""
+    for name in FIELDS:
+        cell = F.col(name)
+        status = t.flag_low(F.col(f"{name}_conf"), cell["text"], cell["status"], rules.low_confidence)
+        noted = F.when(status == "low_confidence", F.array_union(cell["rules"], F.array(F.lit("low_confidence")))).otherwise(cell["rules"])
+        rows = rows.withColumn(name, t._cell(cell["text"], status, cell["candidates"], noted))
+    return rows
+
+
+def correct_page(lines: DataFrame, rules: Rules = PLAIN) -> DataFrame:
+    """All cells of all pages corrected, with codes, group_survey, is_group_first and row_status.
+
+    Where lines have survey_conf, meter_conf or remarks_conf, cells of little confidence are flagged; a null is none.
+    """
+    known = [f"{name}_conf" for name in FIELDS if f"{name}_conf" in lines.columns]
+    if known:
+        lines = lines.withColumns({f"{n}_conf": F.coalesce(F.col(f"{n}_conf").cast("double") if f"{n}_conf" in known else F.lit(None), F.lit(0.0)) for n in FIELDS})
+    # dealt by batch once: pages, groups and audits all lie inside a batch
+    rows = correct_remarks(fill_meters(lines, rules).repartition("batch_id"), rules).withColumn("survey", t.correct_survey(t.strip_survey_prefix(F.col("survey_raw"))))
     skipped = (F.col("meter.status") == "skipped") & F.col("remarks.status").isin("skipped", "empty")
     first = F.col("survey.text") != ""
-    return (
+    rows = (
         rows.withColumn("is_group_first", first)
         .withColumn("group_survey", F.when(first, F.col("survey.text")))
         .withColumn("row_status", F.when(skipped, "skipped").otherwise("ok"))
     )
+    return flag_low(rows, rules) if known else rows
