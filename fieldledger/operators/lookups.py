@@ -42,6 +42,16 @@ def indel_ratio(a: Column, b: Column) -> Column:
     return F.when(total == 0, 100.0).otherwise(200.0 * same / total)
 
 
+def fuzzy_prefixes(df: DataFrame, prefix: str, threshold: float = 85.0, most: int = 5) -> DataFrame:
+    """Adds matches array<struct<prefix, score>>: the known prefixes most like it, best first, then the more frequent."""
+    known = F.array(*[F.struct(F.lit(p).alias("p"), F.lit(n).alias("n"), F.lit(i).alias("o")) for i, (p, n) in enumerate(fixed.PREFIX_COUNTS.items())])
+    key = F.upper(F.trim(F.coalesce(F.col(prefix), F.lit(""))))
+    scored = F.transform(known, lambda k: F.struct((-indel_ratio(key, k["p"])).alias("score"), (-k["n"]).alias("n"), k["o"].alias("o"), k["p"].alias("p")))
+    best = F.slice(F.sort_array(F.filter(scored, lambda s: s["score"] <= -threshold)), 1, most)
+    found = F.transform(best, lambda s: F.struct(s["p"].alias("prefix"), (-s["score"]).alias("score")))
+    return df.withColumn("matches", F.when(key != "", found).otherwise(F.array().cast("array<struct<prefix:string,score:double>>")))
+
+
 def fuzzy_prefix(df: DataFrame, prefix: str, threshold: float = 85.0) -> DataFrame:
     """Adds match struct<prefix, score>: the known prefix most like it, the more frequent of equals; null under the threshold.
 
@@ -67,9 +77,11 @@ def override(base: DataFrame, changes: DataFrame, key: str, fields: list[str]) -
     return joined.select(*[F.coalesce(f"_{c}", c).alias(c) if c in fields else F.col(c) for c in base.columns])
 
 
-def differences(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Rows of either side that the other lacks, repeats counted: side and the row's columns."""
+def differences(left: DataFrame, right: DataFrame, folded: tuple[str, ...] = ()) -> DataFrame:
+    """Rows of either side that the other lacks, repeats counted: side and the row's columns; folded columns are compared in lower case."""
     cols = left.columns
+    left, right = (df.withColumns({c: F.lower(c) for c in folded}) if folded else df for df in (left, right))
+    left = left.select(*cols)
     one = left.exceptAll(right.select(*cols)).select(F.lit("left").alias("side"), *cols)
     return one.unionByName(right.select(*cols).exceptAll(left).select(F.lit("right").alias("side"), *cols))
 

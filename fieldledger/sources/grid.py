@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from fieldledger.functions import fixed
+
 IMAGE_SUFFIXES = ("jpg", "jpeg", "png", "webp", "bmp")
 
 
@@ -23,10 +25,13 @@ def first_filled(*values: Column) -> Column:
     return F.coalesce(*[F.when(F.trim(v) != "", F.trim(v)) for v in values])
 
 
-def nest_by_page(df: DataFrame, page: str, order: str, fields: list[str]) -> DataFrame:
-    """page, first, rows array<struct<order, fields>> in row order."""
+def nest_by_page(df: DataFrame, page: str, order: str, fields: list[str], position: str | None = None) -> DataFrame:
+    """page, first, rows array<struct<order, fields>> in row order; first is where the page first appears in the input.
+
+    position numbers the input's rows; pages come in order of first. Without it, first is the least row number.
+    """
     rows = F.sort_array(F.collect_list(F.struct(order, *fields)))
-    return df.groupBy(page).agg(F.min(order).alias("first"), rows.alias("rows"))
+    return df.groupBy(page).agg(F.min(position or order).alias("first"), rows.alias("rows"))
 
 
 def read_images(spark: SparkSession, folder: str) -> DataFrame:
@@ -46,20 +51,43 @@ def read_golden(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schema).csv(path, header=True)
 
 
-def load_markers(spark: SparkSession, path: str) -> DataFrame:
-    """pattern: the lines of a marker file that are neither blank nor comments."""
-    lines = spark.read.text(path).select(F.trim("value").alias("pattern"))
-    return lines.filter("pattern <> '' AND NOT startswith(pattern, '#')")
+def golden_pages(golden: DataFrame) -> DataFrame:
+    """page_id, first (its first workbook row), rows in order: a golden file by page."""
+    return nest_by_page(golden, "page_id", "row_index", ["workbook_row", "survey", "meter", "remarks", "remarks_type", "is_group_first"], "workbook_row")
+
+
+def expected_values(golden: DataFrame) -> DataFrame:
+    """page_id, row_index, column, expected: what each cell should read, a survey without its prefix."""
+    bare = F.replace(F.coalesce("survey", F.lit("")), F.lit(fixed.SURVEY_PREFIX), F.lit(""))
+    cells = [F.struct(F.lit("survey").alias("column"), bare.alias("expected"))]
+    cells += [F.struct(F.lit(c).alias("column"), F.coalesce(c, F.lit("")).alias("expected")) for c in ("meter", "remarks")]
+    return golden.select("page_id", "row_index", F.inline(F.array(*cells)))
+
+
+def check_tiling(spans: DataFrame) -> DataFrame:
+    """spans (id, first_row, last_row) as they came; reading them fails where one does not start right after the one before."""
+    w = Window.orderBy("first_row")  # a manifest has a row a page
+    due = F.lag("last_row").over(w) + 1
+    checked = spans.withColumn("_due", due)
+    wrong = F.concat(F.lit("span "), F.col("id"), F.lit(" starts at "), F.col("first_row").cast("string"), F.lit(", not at "), F.col("_due").cast("string"))
+    fits = F.col("_due").isNull() | (F.col("_due") == F.col("first_row"))
+    return checked.withColumn("first_row", F.when(fits, F.col("first_row")).otherwise(F.raise_error(wrong).cast("long"))).drop("_due")
+
+
+def load_markers(spark: SparkSession, path: str) -> tuple[str, ...]:
+    """The patterns of a marker file, in order: lines that are neither blank nor comments (a small file)."""
+    lines = "\n".join(r["value"] for r in spark.read.text(path, wholetext=True).limit(1).collect()).splitlines()
+    return tuple(x.strip() for x in lines if x.strip() and not x.strip().startswith("#"))
 
 
-def load_tokens(spark: SparkSession, path: str) -> DataFrame:
-    """ord, output, variant of a placeholder file (a small YAML file, read on the driver)."""
+def load_tokens(spark: SparkSession, path: str) -> tuple[tuple[tuple[str, tuple[str, ...]], ...], int]:
+    """((output, spellings), ...) in declared order and the largest distance, of a placeholder file (a small YAML file)."""
     import yaml
 
     text = "\n".join(r["value"] for r in spark.read.text(path, wholetext=True).limit(1).collect())
-    tokens = (yaml.safe_load(text) or {}).get("tokens", [])
-    rows = [(i, x["output"], v) for i, x in enumerate(tokens) for v in [*x.get("variants", []), x["output"]]]
-    return spark.createDataFrame(rows, "ord int, output string, variant string")
+    spec = yaml.safe_load(text) or {}
+    tokens = tuple((x["output"], tuple(x.get("variants") or ())) for x in spec.get("tokens", []))
+    return tokens, int(spec.get("max_distance", fixed.TOKEN_DISTANCE))
 
 
 def load_manifest(spark: SparkSession, path: str) -> DataFrame:
