@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from fieldledger.functions import fixed, text as t
 from fieldledger.operators import assembly, codes, correction, lookups, review, scoring, signal
-from fieldledger.plans.notebook import NB, nb_lines, nb_sql
+from fieldledger.plans.notebook import NB, PAGES, nb_lines, nb_sql
+from fieldledger.plans.process import process
 from fieldledger.session import table
 from fieldledger.sources import grid, replies
 
@@ -23,7 +24,7 @@ def query(oracle: str | None = None, nb: bool = False):
     def keep(f):
         QUERIES[f.__name__] = f
         if oracle:
-            ORACLES[f.__name__] = f"WITH {NB} {oracle}" if nb else oracle
+            ORACLES[f.__name__] = f"WITH {NB}, {PAGES} {oracle}" if nb else oracle
         return f
 
     return keep
@@ -83,11 +84,12 @@ def coalesce_blank(spark, d):
 
 
 @query(
-    "SELECT conv_id, min(turn) AS first_turn, count(*) AS n_rows, string_agg(role, '|' ORDER BY turn) AS roles FROM conversations GROUP BY conv_id"
+    "SELECT conv_id, min(conv_id * 7919 % 1000 * 100 + turn) AS first_seen, count(*) AS n_rows, string_agg(role, '|' ORDER BY turn) AS roles FROM conversations GROUP BY conv_id"
 )
 def nest_by_page(spark, d):
-    nested = grid.nest_by_page(table(spark, d, "conversations"), "conv_id", "turn", ["role"])
-    return nested.select("conv_id", F.col("first").alias("first_turn"), F.size("rows").cast("long").alias("n_rows"), F.array_join(F.transform("rows", lambda r: r["role"]), "|").alias("roles"))
+    placed = table(spark, d, "conversations").withColumn("position", F.col("conv_id") * 7919 % 1000 * 100 + F.col("turn"))
+    nested = grid.nest_by_page(placed, "conv_id", "turn", ["role"], "position")
+    return nested.select("conv_id", F.col("first").alias("first_seen"), F.size("rows").cast("long").alias("n_rows"), F.array_join(F.transform("rows", lambda r: r["role"]), "|").alias("roles"))
 
 
 # ---------------------------------------------------------------- scalar rules
@@ -314,9 +316,9 @@ def filter_section_marker(spark, d):
     return nb_sql(spark, d, "SELECT i, remarks_raw FROM nb").filter(t.is_section_marker(F.col("remarks_raw")))
 
 
-@query("SELECT i, CASE WHEN nk IN (1, 2, 6, 7, 8, 9, 10) AND NOT (nk = 2) AND NOT (nk = 1 AND contains(d5, '0')) THEN pfx END AS prefix, CASE WHEN nk IN (1, 6, 7, 8, 9, 10) AND NOT (nk = 1 AND contains(d5, '0')) THEN d5 END AS digits FROM nb WHERE nk NOT IN (3, 4, 5)", nb=True)
+@query("SELECT i, CASE WHEN nk IN (1, 2, 6, 7, 8, 9, 10) AND NOT (nk = 2) AND NOT (nk = 1 AND contains(d5, '0')) THEN pfx END AS prefix, CASE WHEN nk IN (1, 6, 7, 8, 9, 10) AND NOT (nk = 1 AND contains(d5, '0')) THEN d5 END AS digits FROM nb", nb=True)
 def parse_meter(spark, d):
-    rows = nb_sql(spark, d, "SELECT i, meter_raw, nk FROM nb").filter("nk NOT IN (3, 4, 5)")
+    rows = nb_sql(spark, d, "SELECT i, meter_raw FROM nb")
     p = t.parse_code(F.col("meter_raw"))
     return rows.select("i", p["prefix"].alias("prefix"), p["digits"].alias("digits"))
 
@@ -387,11 +389,11 @@ def subset_join(spark, d):
 
 
 @query(
-    "SELECT i, CASE s WHEN 0 THEN 'SCO' WHEN 1 THEN 'SFE' WHEN 2 THEN 'SFL' END AS match, CASE WHEN s < 3 THEN 100.0 END AS score FROM (SELECT i, CAST(i % 4 AS INTEGER) AS s FROM nb)",
+    "SELECT i, CASE s WHEN 0 THEN 'SCO' WHEN 1 THEN 'SFE' WHEN 2 THEN 'SFL' END AS match, CASE WHEN s = 0 THEN 100.0 WHEN s < 3 THEN CAST(600.0 AS DOUBLE) / (s + 6) END AS score FROM (SELECT i, CAST(i % 4 AS INTEGER) AS s FROM nb)",
     nb=True,
 )
 def fuzzy_prefix(spark, d):
-    rows = nb_sql(spark, d, "SELECT i, CASE i % 4 WHEN 0 THEN 'sco' WHEN 1 THEN 'SFE ' WHEN 2 THEN 'SFL' ELSE 'QQQQQ' END AS p FROM nb")
+    rows = nb_sql(spark, d, "SELECT i, CASE i % 4 WHEN 0 THEN 'sco' WHEN 1 THEN 'SFEX ' WHEN 2 THEN 'XSFLX' ELSE 'QQQQQ' END AS p FROM nb")
     return lookups.fuzzy_prefix(rows, "p", 70.0).select("i", F.col("match.prefix").alias("match"), "match.score")
 
 
@@ -471,12 +473,10 @@ def grammar_accept(spark, d):
 # ---------------------------------------------------------------- aggregates
 
 
-PREFIXED = "(SELECT pfx AS prefix, nk, d5, i FROM nb WHERE nk > 5)"
 
-
-@query(f"SELECT prefix, count(*) AS n FROM {PREFIXED} GROUP BY prefix", nb=True)
+@query("SELECT CASE WHEN nk > 5 OR nk = 1 AND NOT contains(d5, '0') THEN pfx END AS prefix, count(*) AS n FROM nb GROUP BY 1", nb=True)
 def prefix_counts(spark, d):
-    rows = nb_sql(spark, d, "SELECT meter_raw FROM nb WHERE nk > 5")
+    rows = nb_sql(spark, d, "SELECT meter_raw FROM nb")
     return rows.groupBy(t.parse_code(F.col("meter_raw"))["prefix"].alias("prefix")).agg(F.count("*").alias("n"))
 
 
@@ -486,9 +486,9 @@ def digit_len_hist(spark, d):
     return rows.groupBy(F.length(F.regexp_replace("meter_raw", "[^0-9]", "")).alias("digits")).agg(F.count("*").alias("n"))
 
 
-@query("SELECT p_brand, p_type, count(*) AS n FROM part GROUP BY 1, 2 HAVING count(*) < 3")
+@query("SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1 HAVING count(*) < 9")
 def rare_prefixes(spark, d):
-    return table(spark, d, "part").groupBy("p_brand", "p_type").agg(F.count("*").alias("n")).filter("n < 3")
+    return table(spark, d, "orders").groupBy("o_custkey").agg(F.count("*").alias("n")).filter("n < 9")
 
 
 @query("SELECT meter_raw, count(*) AS n FROM nb WHERE nk IN (2, 5) GROUP BY 1", nb=True)
@@ -562,15 +562,16 @@ def cumulative_share(spark, d):
 
 # ---------------------------------------------------------------- windows
 
-FILL = "last_value(CASE WHEN nk NOT IN (0, 2, 5) AND NOT (nk = 1 AND contains(d5, '0')) THEN pfx END IGNORE NULLS) OVER (PARTITION BY page_no ORDER BY row_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
-#: A letter O for a 0 leaves one run only where all zeros stand together at one end; those are repaired.
-ONE_RUN = "regexp_matches(d5, '^0+[1-9]+$') OR regexp_matches(d5, '^[1-9]+0+$') OR NOT contains(d5, '0')"
+#: Letters O for zeros leave one run of digits, or none, where all other digits stand together; two of them are repaired.
+ONE_RUN, ZEROS = "regexp_matches(d5, '^0*[1-9]*0*$')", "(5 - length(replace(d5, '0', '')))"
+READABLE = f"(nk IN (3, 4, 6, 7, 8, 9, 10) OR nk = 5 AND d5 = '68610' OR nk = 1 AND {ONE_RUN} AND {ZEROS} <= 2)"
+FILL = f"last_value(CASE WHEN {READABLE} THEN pfx END IGNORE NULLS) OVER (PARTITION BY page_no ORDER BY row_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
 
 
 @query("SELECT i, CASE WHEN f IS NULL THEN meter_raw ELSE concat(f, d5) END AS meter, CASE WHEN f IS NULL THEN 'manual_review' ELSE 'corrected' END AS status "
-       f"FROM (SELECT *, {FILL} AS f FROM (SELECT * FROM nb WHERE nk <> 1)) WHERE nk = 0", nb=True)
+       f"FROM (SELECT *, {FILL} AS f FROM nb) WHERE nk = 0", nb=True)
 def ditto_meter(spark, d):
-    rows = nb_sql(spark, d, "SELECT i, batch_id, page_no, row_index, meter_raw, nk FROM nb WHERE nk <> 1")
+    rows = nb_sql(spark, d, "SELECT i, batch_id, page_no, row_index, meter_raw, nk FROM nb")
     out = correction.fill_meters(rows).filter("nk = 0")
     return out.select("i", F.col("meter.text").alias("meter"), "meter.status")
 
@@ -608,9 +609,9 @@ def audit_gaps(spark, d):
     return assembly.audit_surveys(rows).filter("kind = 'gap'").select("batch_id", "previous", "current")
 
 
-@query("SELECT batch_id, sv AS current FROM (SELECT batch_id, sv, page_no, lag(sv) OVER (PARTITION BY batch_id ORDER BY -page_no, row_index) AS p FROM nb WHERE row_index IN (0, 24)) WHERE sv <= p", nb=True)
+@query("SELECT batch_id, sv AS current FROM (SELECT batch_id, sv, page_no, lag(sv) OVER (PARTITION BY batch_id ORDER BY -page_no, row_index) AS p FROM nb) WHERE sv <= p", nb=True)
 def audit_repeats(spark, d):
-    rows = nb_sql(spark, d, "SELECT batch_id, -page_no AS page_ord, row_index, concat('KE-', CAST(sv AS STRING)) AS survey FROM nb WHERE row_index IN (0, 24)")
+    rows = nb_sql(spark, d, "SELECT batch_id, -page_no AS page_ord, row_index, concat('KE-', CAST(sv AS STRING)) AS survey FROM nb")
     return assembly.audit_surveys(rows).filter("kind = 'repeat'").select("batch_id", "current")
 
 
@@ -655,13 +656,40 @@ def bridge_gaps(spark, d):
     return signal.bridge(e, "user_id", "a", "z", 86400)
 
 
-@query("SELECT i, CASE WHEN nk >= 6 THEN 2 ELSE 1 END AS n, CASE WHEN nk >= 6 THEN CAST(nk AS DOUBLE) ELSE nk / 2.0 END AS last FROM nb", nb=True)
+@query("SELECT i, CASE WHEN nk < 4 THEN 1 ELSE 2 END AS n, CASE WHEN nk < 4 THEN (nk / 2.0 + nk + 4) / 2 WHEN nk < 6 THEN nk + 4.0 ELSE nk + 2.0 END AS last FROM (SELECT i, CAST(nk AS DOUBLE) AS nk FROM nb)", nb=True)
 def merge_close(spark, d):
-    rows = nb_sql(spark, d, "SELECT i, array(0.0D, CAST(nk AS DOUBLE)) AS p FROM nb")
+    rows = nb_sql(spark, d, "SELECT i, array(0.0D, CAST(nk AS DOUBLE), CAST(nk + 4 AS DOUBLE)) AS p FROM nb")
     m = signal.merge_close(F.col("p"), 6.0)
     return rows.select("i", m.alias("m")).select("i", F.size("m").alias("n"), F.element_at("m", -1).alias("last"))
 
 
+@query("SELECT page_no, CASE WHEN median(g) IS NULL OR median(g) = 0 THEN 1.0 ELSE CAST(median(g) AS DOUBLE) END AS pitch FROM (SELECT page_no, row_index * row_index - lag(row_index * row_index) OVER (PARTITION BY page_no ORDER BY row_index) AS g FROM nb WHERE nk > 4) GROUP BY page_no", nb=True)
+def median_pitch(spark, d):
+    rows = nb_sql(spark, d, "SELECT page_no, sort_array(collect_list(row_index * row_index)) AS p FROM nb WHERE nk > 4 GROUP BY page_no")
+    return rows.select("page_no", signal.median_pitch(F.col("p")).alias("pitch"))
+
+
+@query("SELECT page_no, first, last, total FROM (SELECT *, row_number() OVER (PARTITION BY page_no ORDER BY total DESC, first) AS r FROM (SELECT page_no, min(row_index) AS first, max(row_index) AS last, CAST(sum(nk) AS BIGINT) AS total FROM "
+       "(SELECT page_no, row_index, nk, sum(g) OVER (PARTITION BY page_no ORDER BY row_index) AS s FROM (SELECT page_no, row_index, nk, CASE WHEN row_index - lag(row_index) OVER (PARTITION BY page_no ORDER BY row_index) > 3 THEN 1 ELSE 0 END AS g "
+       "FROM nb WHERE nk > 7)) GROUP BY page_no, s)) WHERE r = 1", nb=True)
+def max_sum_run(spark, d):
+    runs = nb_sql(spark, d, "SELECT page_no, row_index AS a, row_index AS z, CAST(nk AS BIGINT) AS nk FROM nb WHERE nk > 7")
+    return signal.best_run(runs, "page_no", "a", "z", "nk", 3)
+
+
+@query("SELECT page_no, row_index, CASE WHEN (a >= b AND a <= c) OR (a <= b AND a >= c) THEN a WHEN (b >= a AND b <= c) OR (b <= a AND b >= c) THEN b ELSE c END AS blurred FROM "
+       "(SELECT page_no, row_index, nk AS b, coalesce(lag(nk) OVER w, nk) AS a, coalesce(lead(nk) OVER w, nk) AS c FROM nb WINDOW w AS (PARTITION BY page_no ORDER BY row_index))", nb=True)
+def median_blur(spark, d):
+    rows = nb_sql(spark, d, "SELECT page_no, row_index, nk FROM nb")
+    return signal.median_blur(rows, "page_no", "row_index", "nk", 3).select("page_no", "row_index", "blurred")
+
+
+@query("SELECT i, CAST(sv AS VARCHAR) AS survey_raw FROM nb", nb=True)
+def continuation_fill(spark, d):
+    rows = nb_sql(spark, d, "SELECT i, batch_id, page_no, row_index, survey_raw FROM nb")
+    return signal.fill_forward(rows, "batch_id", ["page_no", "row_index"], "survey_raw").select("i", "survey_raw")
+
+
 @query("SELECT page_no, CAST(CASE WHEN k = 0 THEN x ELSE x + 2 * k END AS DOUBLE) AS pos, k > 0 AS added FROM (SELECT page_no, x, unnest(range(CASE WHEN g % 2 = 0 AND g / 2 BETWEEN 2 AND 6 THEN g // 2 ELSE 1 END)) AS k "
        "FROM (SELECT page_no, row_index * 2 AS x, coalesce(lead(row_index) OVER (PARTITION BY page_no ORDER BY row_index) - row_index, 0) * 2 AS g FROM nb WHERE nk > 6))", nb=True)
 def gap_fill(spark, d):
@@ -699,63 +727,60 @@ def golden_except(spark, d):
 # ---------------------------------------------------------------- composites
 
 METER_SQL = f"""
-m AS (SELECT *, {FILL} AS f FROM nb),
-mt AS (SELECT *, CASE WHEN nk = 0 AND f IS NULL THEN meter_raw WHEN nk = 0 THEN concat(f, d5) WHEN nk = 2 THEN 'NoMeter'
-             WHEN nk = 5 AND d5 <> '68610' THEN meter_raw ELSE concat(pfx, d5) END AS meter,
-             CASE WHEN nk = 0 AND f IS NULL THEN 'manual_review' WHEN nk = 5 AND d5 <> '68610' THEN 'ambiguous' WHEN nk IN (0, 2, 3, 4, 5) THEN 'corrected' ELSE 'ok' END AS ms
+m AS (SELECT *, {FILL} AS f FROM np),
+mt AS (SELECT *, CASE WHEN nk IN (11, 12) THEN '' WHEN nk = 0 AND f IS NULL THEN meter_raw WHEN nk = 0 THEN concat(f, d5) WHEN nk = 2 THEN 'NoMeter' WHEN {READABLE} THEN concat(pfx, d5)
+             WHEN nk = 1 AND {ONE_RUN} THEN concat(pfx, replace(d5, '0', 'O')) ELSE meter_raw END AS meter,
+             CASE WHEN nk = 11 THEN 'skipped' WHEN nk = 12 THEN 'empty' WHEN nk = 0 AND f IS NULL THEN 'manual_review' WHEN nk IN (0, 2, 3, 4) THEN 'corrected' WHEN nk = 1 AND NOT contains(d5, '0') OR nk > 5 THEN 'ok'
+                  WHEN {READABLE} THEN 'corrected' WHEN nk = 1 AND {ONE_RUN} THEN 'invalid_format' ELSE 'ambiguous' END AS ms
        FROM m),
 rt AS (SELECT *, {REMARK_FILL} AS rf FROM mt),
 rr AS (SELECT *, CASE rk WHEN 2 THEN 'Shop' WHEN 3 THEN '3 Shops' WHEN 4 THEN coalesce(rf, '"') ELSE '' END AS remark,
               CASE rk WHEN 0 THEN 'ok' WHEN 1 THEN 'ok' WHEN 2 THEN 'ok' WHEN 3 THEN 'ok' WHEN 4 THEN CASE WHEN rf IS NULL THEN 'manual_review' ELSE 'corrected' END WHEN 5 THEN 'skipped' ELSE 'empty' END AS rs,
               CASE rk WHEN 0 THEN '-37' WHEN 1 THEN '-37,-24' WHEN 2 THEN '-37' ELSE '' END AS codes FROM rt)"""
+REVIEWED = "('manual_review', 'ambiguous', 'invalid_format')"
 
 
-def _clean(spark, d):
-    """The notebook without letters for digits, whose outcome SQL can foretell."""
-    return nb_sql(spark, d, "SELECT i, batch_id, page_no, row_index, survey_raw, CASE nk WHEN 1 THEN concat(pfx, ' ', d5) ELSE meter_raw END AS meter_raw, remarks_raw FROM nb")
-
+def _lines(spark, d):
+    return nb_sql(spark, d, "SELECT i, batch_id, page_no, row_index, survey_raw, meter_raw, remarks_raw FROM np")
 
-CLEAN_METERS = METER_SQL.replace(" AND NOT (nk = 1 AND contains(d5, '0'))", "").replace("nk NOT IN (0, 2, 5)", "NOT (nk IN (0, 2) OR nk = 5 AND d5 <> '68610')")
 
-
-@query(f", {CLEAN_METERS.strip()} SELECT i, meter, ms AS status FROM mt", nb=True)
+@query(f", {METER_SQL.strip()} SELECT i, meter, ms AS status FROM mt", nb=True)
 def correct_meter(spark, d):
-    out = correction.fill_meters(_clean(spark, d))
+    out = correction.fill_meters(_lines(spark, d))
     return out.select("i", F.col("meter.text").alias("meter"), "meter.status")
 
 
-@query(f", {CLEAN_METERS.strip()} SELECT i, remark, rs AS status, codes FROM rr", nb=True)
+@query(f", {METER_SQL.strip()} SELECT i, remark, rs AS status, codes FROM rr", nb=True)
 def correct_remarks(spark, d):
-    out = correction.correct_remarks(_clean(spark, d))
+    out = correction.correct_remarks(_lines(spark, d))
     return out.select("i", F.col("remarks.text").alias("remark"), "remarks.status", F.array_join("codes", ",").alias("codes"))
 
 
-@query(f", {CLEAN_METERS.strip()} SELECT i, CASE WHEN survey_raw = '' THEN '' ELSE concat('KE-', substr(survey_raw, 1, 4)) END AS survey, meter, remark, codes, survey_raw <> '' AS is_group_first FROM rr", nb=True)
+@query(f", {METER_SQL.strip()} SELECT i, CASE WHEN survey_raw = '' THEN '' ELSE concat('KE-', survey_raw) END AS survey, meter, remark, codes, survey_raw <> '' AS is_group_first FROM rr", nb=True)
 def correct_page(spark, d):
-    out = correction.correct_page(_clean(spark, d))
+    out = correction.correct_page(_lines(spark, d))
     return out.select("i", F.col("survey.text").alias("survey"), F.col("meter.text").alias("meter"), F.col("remarks.text").alias("remark"), F.array_join("codes", ",").alias("codes"), "is_group_first")
 
 
-ASSEMBLED = f""", {CLEAN_METERS.strip()},
-g AS (SELECT *, row_number() OVER (PARTITION BY batch_id, sv ORDER BY i) = 1 AS opens FROM rr),
+ASSEMBLED = f""", {METER_SQL.strip()},
+g AS (SELECT *, row_number() OVER (PARTITION BY batch_id, sv ORDER BY i) = 1 AS opens FROM rr WHERE nk < 11),
 bnd AS (SELECT batch_id AS bb, sv AS bsv, string_agg(remark, ', ' ORDER BY i) AS bound, count(*) AS nb_ FROM g WHERE codes = '' AND remark <> '' GROUP BY 1, 2),
-o AS (SELECT g.*, CASE WHEN codes <> '' THEN remark WHEN opens THEN coalesce(bound, '') ELSE '' END AS txt, opens AND coalesce(nb_, 0) > 1 AS joined FROM g LEFT JOIN bnd ON bb = batch_id AND bsv = sv)
+o1 AS (SELECT g.*, CASE WHEN codes <> '' THEN remark WHEN opens THEN coalesce(bound, '') ELSE '' END AS txt, opens AND coalesce(nb_, 0) > 1 AS joined FROM g LEFT JOIN bnd ON bb = batch_id AND bsv = sv),
+o AS (SELECT *, CASE WHEN ms IN {REVIEWED} OR rs = 'manual_review' OR joined THEN 'manual_review' WHEN ms = 'corrected' OR rs = 'corrected' THEN 'corrected' ELSE 'ok' END AS verdict,
+             CASE WHEN codes = '-37' AND txt = '' THEN 'number' WHEN codes <> '' OR txt <> '' THEN 'text' ELSE '' END AS remark_type FROM o1)
 """
 
 
-@query(f"{ASSEMBLED} SELECT i, CASE WHEN opens THEN concat('KE-', substr(CAST(sv AS VARCHAR), 1, 4)) END AS survey, meter, nullif(concat_ws(',', nullif(codes, ''), nullif(txt, '')), '') AS remark, "
-       "CASE WHEN codes = '-37' AND txt = '' THEN 'number' WHEN codes <> '' OR txt <> '' THEN 'text' ELSE '' END AS remark_type, "
-       "CASE WHEN ms IN ('manual_review', 'ambiguous') OR rs = 'manual_review' OR joined THEN 'manual_review' WHEN ms = 'corrected' OR rs = 'corrected' THEN 'corrected' ELSE 'ok' END AS status FROM o WHERE sv <= 9999", nb=True)
+@query(f"{ASSEMBLED} SELECT i, CASE WHEN opens THEN concat('KE-', CAST(sv AS VARCHAR)) END AS survey, meter, nullif(concat_ws(',', nullif(codes, ''), nullif(txt, '')), '') AS remark, remark_type, verdict AS status FROM o", nb=True)
 def assemble_rows(spark, d):
-    rows, _ = assembly.assemble(correction.correct_page(_clean(spark, d)))
+    rows, _ = assembly.assemble(correction.correct_page(_lines(spark, d)))
     i = (F.col("page_no") * 25 + F.col("row_index")).alias("i")
-    out = rows.select(i, "survey", "meter", t.remark_shown(F.col("remark")).alias("remark"), t.remark_type(F.col("remark")).alias("remark_type"), "status")
-    return out.filter(F.col("i") < (10_000 - 570) * 3)  # a page shows four digits of a number at most
+    return rows.select(i, "survey", "meter", t.remark_shown(F.col("remark")).alias("remark"), t.remark_type(F.col("remark")).alias("remark_type"), "status")
 
 
-@query(f", {CLEAN_METERS.strip()} SELECT i, CASE WHEN survey_raw = '' AND meter = '' AND remark = '' THEN 'no ink in any column' ELSE 'kept' END AS route FROM rr", nb=True)
+@query(f", {METER_SQL.strip()} SELECT i, CASE nk WHEN 11 THEN 'section marker or non-Latin line' WHEN 12 THEN 'no ink in any column' ELSE 'kept' END AS route FROM rr", nb=True)
 def route_kept_skipped(spark, d):
-    routed = correction.correct_page(_clean(spark, d)).withColumn("reason", assembly.skip_reason())
+    routed = correction.correct_page(_lines(spark, d)).withColumn("reason", assembly.skip_reason())
     return routed.select("i", F.coalesce("reason", F.lit("kept")).alias("route"))
 
 
@@ -767,45 +792,108 @@ def order_pages(spark, d):
 
 @query(f"{ASSEMBLED} SELECT batch_id, bsv - min(sv) OVER (PARTITION BY batch_id) AS group_id, bound FROM (SELECT batch_id, sv, min(bsv) AS bsv, min(bound) AS bound FROM (SELECT g.batch_id, g.sv, bsv, bound FROM g LEFT JOIN bnd ON bb = batch_id AND bsv = sv) GROUP BY 1, 2) QUALIFY bound IS NOT NULL", nb=True)
 def bind_remarks(spark, d):
-    rows = nb_sql(spark, d, "SELECT i, batch_id, page_no, page_no AS page_ord, row_index, survey_raw, remarks_raw FROM nb")
+    rows = nb_sql(spark, d, "SELECT i, batch_id, page_no, page_no AS page_ord, row_index, survey_raw, remarks_raw FROM np WHERE nk < 11")
     survey = F.when(F.col("survey_raw") != "", F.concat(F.lit("KE-"), "survey_raw"))
     cells = correction.correct_remarks(rows).withColumn("group_survey", survey).withColumn("is_group_first", survey.isNotNull())
     bound = assembly.bind_remarks(assembly.assign_groups(cells))
     return bound.filter("first_of_group AND n_bound > 0").select("batch_id", "group_id", "bound")
 
 
-@query(f"{ASSEMBLED} SELECT batch_id, metric, value FROM (SELECT batch_id, count(*) AS rows, count(*) FILTER (opens) AS groups, "
-       "count(*) FILTER (ms IN ('manual_review', 'ambiguous') OR rs = 'manual_review' OR joined) AS needs_review, "
-       "count(*) FILTER (NOT (ms IN ('manual_review', 'ambiguous') OR rs = 'manual_review' OR joined) AND (ms = 'corrected' OR rs = 'corrected')) AS corrected, "
-       "count(*) FILTER (codes = '-37' AND txt = '') AS numeric_remarks, count(*) FILTER ((codes <> '' OR txt <> '') AND NOT (codes = '-37' AND txt = '')) AS text_remarks, 0 AS skipped "
-       "FROM o WHERE page_no < 1120 GROUP BY batch_id) UNPIVOT (value FOR metric IN (rows, groups, needs_review, corrected, numeric_remarks, text_remarks, skipped))", nb=True)
+SKIPPED = "(SELECT batch_id AS sb, count(*) AS skipped FROM np WHERE nk >= 11 GROUP BY 1)"
+
+
+@query(f"{ASSEMBLED} SELECT batch_id, metric, value FROM (SELECT * EXCLUDE (sb) REPLACE (coalesce(skipped, 0) AS skipped) FROM (SELECT batch_id, count(*) AS rows, count(*) FILTER (opens) AS groups, "
+       "count(*) FILTER (verdict = 'manual_review') AS needs_review, count(*) FILTER (verdict = 'corrected') AS corrected, count(*) FILTER (remark_type <> '') AS remarked, "
+       f"count(*) FILTER (remark_type = 'number') AS numeric_remarks, count(*) FILTER (remark_type = 'text') AS text_remarks FROM o GROUP BY batch_id) LEFT JOIN {SKIPPED} ON sb = batch_id) "
+       "UNPIVOT (value FOR metric IN (rows, groups, needs_review, corrected, remarked, numeric_remarks, text_remarks, skipped))", nb=True)
 def summary_metrics(spark, d):
-    rows, skipped = assembly.assemble(correction.correct_page(_clean(spark, d).filter("page_no < 1120")))
+    rows, skipped = assembly.assemble(correction.correct_page(_lines(spark, d)))
     return assembly.summary(rows, skipped)
 
 
-@query(f", {CLEAN_METERS.strip()}, cells AS (SELECT i, 'survey' AS field, CASE WHEN survey_raw = '' THEN '' ELSE concat('KE-', substr(survey_raw, 1, 4)) END AS text, CASE WHEN survey_raw = '' THEN 'empty' ELSE 'ok' END AS status FROM rr "
+@query(f", {METER_SQL.strip()}, cells AS (SELECT i, 'survey' AS field, CASE WHEN survey_raw = '' THEN '' ELSE concat('KE-', survey_raw) END AS text, CASE WHEN survey_raw = '' THEN 'empty' ELSE 'ok' END AS status FROM rr "
        "UNION ALL SELECT i, 'meter', meter, ms FROM rr UNION ALL SELECT i, 'remarks', remark, rs FROM rr) SELECT * FROM cells WHERE NOT (text = '' AND status IN ('empty', 'ok'))", nb=True)
 def unpivot_cells(spark, d):
-    out = assembly.unpivot_cells(correction.correct_page(_clean(spark, d)))
+    out = assembly.unpivot_cells(correction.correct_page(_lines(spark, d)))
     return out.select((F.col("page_no") * 25 + F.col("row_index")).alias("i"), "field", "text", "status")
 
 
+CONFIDENT = "SELECT *, CAST((i % 10) / 10.0D AS DOUBLE) AS meter_conf, 0.9D AS survey_conf, CAST(NULL AS DOUBLE) AS remarks_conf FROM np"
+
+
+@query(f", {METER_SQL.strip()}, cells AS (SELECT page_no, row_index, 'survey' AS field, CASE WHEN survey_raw = '' THEN '' ELSE concat('KE-', survey_raw) END AS value, survey_raw AS raw_ocr, 0.9 AS confidence, CASE WHEN survey_raw = '' THEN 'empty' ELSE 'ok' END AS status FROM rr "
+       "UNION ALL SELECT page_no, row_index, 'meter', meter, meter_raw, (i % 10) / 10.0, CASE WHEN ms IN ('ok', 'corrected') AND i % 10 BETWEEN 1 AND 4 THEN 'low_confidence' ELSE ms END FROM rr "
+       "UNION ALL SELECT page_no, row_index, 'remarks', remark, remarks_raw, 0.0, rs FROM rr) "
+       "SELECT CAST(page_no AS VARCHAR) AS page, row_index AS row, field AS \"column\", value, raw_ocr, CAST(confidence AS DOUBLE) AS confidence, status FROM cells WHERE NOT (value = '' AND status IN ('empty', 'ok'))", nb=True)
+def sidecar_rows(spark, d):
+    out = review.sidecar_rows(correction.correct_page(nb_sql(spark, d, CONFIDENT)))
+    return out.select("page", "row", "column", "value", "raw_ocr", "confidence", "status")
+
+
+@query(f"{ASSEMBLED}, steps AS (SELECT batch_id, sv, lag(sv) OVER (PARTITION BY batch_id ORDER BY i) AS p FROM o WHERE opens), "
+       "twice AS (SELECT batch_id, count(*) AS n FROM (SELECT batch_id, meter FROM o WHERE meter NOT IN ('', 'NoMeter') GROUP BY 1, 2 HAVING count(*) > 1) GROUP BY 1), "
+       "inked AS (SELECT batch_id, page_no, count(*) FILTER (meter <> '') AS emitted FROM rr GROUP BY 1, 2), off AS (SELECT batch_id, count(*) AS n FROM inked WHERE emitted <> 24 GROUP BY 1), "
+       "w AS (SELECT batch_id, count(DISTINCT page_no) AS pages FROM rr GROUP BY 1), x AS (SELECT batch_id, count(*) AS n, count(*) FILTER (verdict = 'manual_review') AS review, count(*) FILTER (verdict = 'corrected') AS fixed FROM o GROUP BY 1), "
+       "gaps AS (SELECT batch_id, count(*) FILTER (sv > p + 1) AS g, count(*) FILTER (sv <= p) AS r FROM steps GROUP BY 1), "
+       f"v AS (SELECT w.batch_id, pages, x.n AS n, review, fixed, coalesce(skipped, 0) AS sk, g, r, coalesce(twice.n, 0) AS dup, coalesce(off.n, 0) AS off FROM w JOIN x USING (batch_id) JOIN gaps USING (batch_id) LEFT JOIN twice USING (batch_id) LEFT JOIN off USING (batch_id) LEFT JOIN {SKIPPED} ON sb = w.batch_id) "
+       "SELECT batch_id, CAST(ord AS INTEGER) AS ord, metric, CAST(value AS VARCHAR) AS value FROM v, (VALUES (0), (1), (2), (3), (4), (5), (6), (7), (8), (9)) AS k(ord), "
+       "LATERAL (SELECT CASE ord WHEN 0 THEN 'Pages processed' WHEN 1 THEN 'Rows exported' WHEN 2 THEN 'Rows flagged for review' WHEN 3 THEN 'Rows auto-corrected' WHEN 4 THEN 'Rows skipped (markers / non-Latin)' WHEN 5 THEN 'Survey gaps' "
+       "WHEN 6 THEN 'Survey repeats' WHEN 7 THEN 'Duplicate meter codes' WHEN 8 THEN 'Row-count mismatches' ELSE 'Structural audit clean' END AS metric, "
+       "CASE ord WHEN 0 THEN CAST(pages AS VARCHAR) WHEN 1 THEN CAST(n AS VARCHAR) WHEN 2 THEN CAST(review AS VARCHAR) WHEN 3 THEN CAST(fixed AS VARCHAR) WHEN 4 THEN CAST(sk AS VARCHAR) WHEN 5 THEN CAST(g AS VARCHAR) "
+       "WHEN 6 THEN CAST(r AS VARCHAR) WHEN 7 THEN CAST(dup AS VARCHAR) WHEN 8 THEN CAST(off AS VARCHAR) ELSE CASE WHEN g + r + dup + off = 0 THEN 'yes' ELSE 'no' END END AS value)", nb=True)
+def sidecar_summary(spark, d):
+    done = process(_lines(spark, d).drop("i"), nb_sql(spark, d, "SELECT DISTINCT batch_id, page_no, 24 AS detected_rules FROM np"))
+    return review.sidecar_summary(done.corrected, done.rows, done.skipped, done.findings)
+
+
+@query(f"{ASSEMBLED} SELECT i, CAST(i // 25 AS VARCHAR) || '#' || CAST(row_index AS VARCHAR) AS id, CASE WHEN opens THEN concat('KE-', CAST(sv AS VARCHAR)) ELSE '' END AS survey, meter, "
+       f"coalesce(nullif(concat_ws(',', nullif(codes, ''), nullif(txt, '')), ''), '') AS remarks, meter_raw AS raw, ms IN {REVIEWED} OR rs = 'manual_review' AS needs_review FROM o", nb=True)
+def grid_json(spark, d):
+    done = process(_lines(spark, d).drop("i"))
+    row = "rows array<struct<id:string,page:string,index:bigint,survey:string,meter:string,remarks:string,cells:struct<meter:struct<raw:string>>,needs_review:boolean>>"
+    rows = done.grid().select(F.inline(F.from_json("grid", row)["rows"]))
+    return rows.select((F.col("page").cast("long") * 25 + F.col("index")).alias("i"), "id", "survey", "meter", "remarks", F.col("cells.meter.raw").alias("raw"), "needs_review")
+
+
+@query(f"{ASSEMBLED} SELECT batch_id, count(*) AS row_count, count(*) FILTER (ms IN {REVIEWED} OR rs = 'manual_review') AS needs_review, min(sv) FILTER (opens) AS lowest, max(sv) FILTER (opens) AS highest, any_value(skipped) AS skipped "
+       f"FROM o LEFT JOIN {SKIPPED} ON sb = batch_id GROUP BY 1", nb=True)
+def grid_json_summary(spark, d):
+    done = process(_lines(spark, d).drop("i"))
+    told = F.from_json("grid", "summary struct<row_count:bigint,needs_review:bigint,survey_range:array<bigint>,skipped:bigint>")["summary"]
+    out = done.grid().select("batch_id", told.alias("s"))
+    return out.select("batch_id", "s.row_count", "s.needs_review", F.get("s.survey_range", F.lit(0)).alias("lowest"), F.get("s.survey_range", F.lit(1)).alias("highest"), F.nullif("s.skipped", F.lit(0)).alias("skipped"))
+
+
+@query(f", {METER_SQL.strip()} SELECT i, CASE WHEN ms IN {REVIEWED} THEN 'review' WHEN ms = 'corrected' THEN 'fixed' ELSE 'ok' END AS badge FROM mt", nb=True)
+def cell_badge(spark, d):
+    return correction.fill_meters(_lines(spark, d)).select("i", review.badge(F.col("meter.status")).alias("badge"))
+
+
+@query("SELECT i, CASE rk WHEN 2 THEN 'Shop' WHEN 3 THEN '3 Shops' ELSE '' END AS text, CASE rk WHEN 0 THEN '-37' WHEN 1 THEN '-37|-24' WHEN 2 THEN '-37' ELSE '' END AS codes FROM nb", nb=True)
+def split_remark(spark, d):
+    rows = nb_sql(spark, d, "SELECT i, CASE rk WHEN 0 THEN -37 END AS number, CASE rk WHEN 1 THEN '-37,-24' WHEN 2 THEN '-37,Shop' WHEN 3 THEN '3 Shops' END AS text FROM nb")
+    part = t.split_remark(F.struct("text", "number"))
+    return rows.select("i", part["text"].alias("text"), F.array_join(part["codes"], "|").alias("codes"))
+
+
 @query("SELECT batch_id, page_no, concat('[', string_agg(concat('{\"row_index\":', CAST(row_index AS VARCHAR), ',\"survey\":\"', survey_raw, '\",\"meter\":\"', pfx, d5, '\",\"status\":\"ok\"}'), ',' ORDER BY row_index), ']') AS grid FROM nb GROUP BY 1, 2", nb=True)
 def grid_to_json(spark, d):
     rows = nb_sql(spark, d, "SELECT batch_id, page_no, row_index, nullif(survey_raw, '') AS survey, concat(pfx, d5) AS meter, 'ok' AS status FROM nb")
     return review.grid_json(rows)
 
 
-@query(f"SELECT batch_id, 'gap' AS kind, count(*) AS n FROM {GAPPED} WHERE sv > p + 1 GROUP BY 1", nb=True)
+@query(f"SELECT batch_id, 'gap' AS kind, count(*) AS n FROM {GAPPED} WHERE sv > p + 1 GROUP BY 1 "
+       "UNION ALL SELECT batch_id, 'duplicate', count(*) FROM (SELECT batch_id, sv % 300 AS m FROM (SELECT DISTINCT batch_id, sv FROM nb WHERE sv % 17 <> 0) GROUP BY 1, 2 HAVING count(*) > 1) GROUP BY 1 "
+       "UNION ALL SELECT batch_id, 'row_count', count(*) FROM (SELECT batch_id, page_no, count(*) AS n FROM nb GROUP BY 1, 2) WHERE page_no % 4 <> 3 AND n <> 25 - page_no % 4 GROUP BY 1", nb=True)
 def audit_all(spark, d):
-    rows = nb_sql(spark, d, "SELECT DISTINCT batch_id, sv AS page_ord, 0 AS row_index, concat('KE-', CAST(sv AS STRING)) AS survey, concat('SFT', lpad(CAST(sv AS STRING), 5, '0')) AS meter FROM nb WHERE sv % 17 <> 0")
-    return assembly.audit_all(rows).groupBy("batch_id", "kind").agg(F.count("*").alias("n"))
+    rows = nb_sql(spark, d, "SELECT DISTINCT batch_id, sv AS page_ord, 0 AS row_index, concat('KE-', CAST(sv AS STRING)) AS survey, concat('SFT', lpad(CAST(sv % 300 AS STRING), 5, '0')) AS meter FROM nb WHERE sv % 17 <> 0")
+    corrected = nb_sql(spark, d, "SELECT batch_id, page_no, named_struct('text', concat(pfx, d5)) AS meter FROM nb")
+    expected = nb_sql(spark, d, "SELECT DISTINCT batch_id, page_no, CASE WHEN page_no % 4 = 3 THEN 0 ELSE 25 - page_no % 4 END AS detected_rules FROM nb")
+    return assembly.audit_all(rows, corrected, expected).groupBy("batch_id", "kind").agg(F.count("*").alias("n"))
 
 
-@query("SELECT i, concat(pfx, d5) AS best, CAST(1 AS INTEGER) AS edits FROM nb WHERE nk = 1 AND length(d5) - length(replace(d5, '0', '')) = 1 "
-       "UNION ALL SELECT i, concat(pfx, d5), 2 FROM nb WHERE nk = 1 AND length(d5) - length(replace(d5, '0', '')) = 2 UNION ALL SELECT i, concat(pfx, d5), 0 FROM nb WHERE nk = 1 AND NOT contains(d5, '0')", nb=True)
+@query(f"SELECT i, CASE WHEN {ZEROS} <= 2 THEN concat(pfx, d5) ELSE '' END AS best, CAST(CASE WHEN {ZEROS} <= 2 THEN {ZEROS} ELSE -1 END AS INTEGER) AS edits FROM nb WHERE nk = 1", nb=True)
 def repair_meter(spark, d):
-    rows = nb_sql(spark, d, "SELECT i, meter_raw FROM nb WHERE nk = 1 AND length(d5) - length(replace(d5, '0', '')) <= 2")
-    out = codes.with_repairs(rows, "meter_raw", "found")
-    return out.select("i", F.get("found", F.lit(0))["text"].alias("best"), F.get("found", F.lit(0))["edits"].alias("edits"))
+    out = codes.with_repairs(nb_sql(spark, d, "SELECT i, meter_raw FROM nb WHERE nk = 1"), "meter_raw", "found")
+    best = F.get("found", F.lit(0))
+    return out.select("i", F.coalesce(best["text"], F.lit("")).alias("best"), F.coalesce(best["edits"], F.lit(-1)).alias("edits"))

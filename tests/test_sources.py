@@ -24,7 +24,7 @@ def test_workbook_round_trip(spark, tmp_path):
 def test_process(spark, tmp_path):
     done = process(spark.createDataFrame(ROWS, LINES))
     values = {r["metric"]: r["value"] for r in done.summary.collect()}
-    assert values == {"rows": 3, "groups": 2, "needs_review": 0, "corrected": 1, "numeric_remarks": 1, "text_remarks": 0, "skipped": 0}
+    assert values == {"rows": 3, "groups": 2, "needs_review": 0, "corrected": 1, "remarked": 1, "numeric_remarks": 1, "text_remarks": 0, "skipped": 0}
     sinks.write_parquet(done.rows, str(tmp_path / "rows"))
     assert spark.read.parquet(str(tmp_path / "rows")).count() == 3
 
