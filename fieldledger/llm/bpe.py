@@ -1,6 +1,6 @@
-"""Byte-pair encoding of words, exact and memoised, read from a public tokenizer file.
+"""Byte-pair encoding, exact and for many texts at a time, read from a public tokenizer file.
 
-A vocabulary's pattern splits a text into independent words, so a word's ids can be kept. Texts with characters
+A vocabulary's pattern splits a text into independent words, so each distinct word is encoded once. Texts with characters
 outside the plain set go to the library as a whole. Merges has what the transducer of token counts is built from.
 """
 
@@ -9,7 +9,6 @@ from __future__ import annotations
 import json
 import os
 import re
-from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -17,12 +16,34 @@ import numpy as np
 LETTERS = "A-Za-zÀ-ÖØ-öø-ÿĀ-įĲ-ňŊ-ž"
 SPACES = " \t\n\r"
 PLAIN = re.compile(rf"[\t\n\r -~¡-©«-±´¶-¸»¿×÷–—‘’“”…€{LETTERS}]*")
-BYTE_WORDS = re.compile(
-    rf"'(?:s|t|re|ve|m|ll|d)| ?[{LETTERS}]+| ?[0-9]+| ?[^{SPACES}{LETTERS}0-9]+|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]+"
-)
+LETTERS_RE = re.compile(f"[{LETTERS}]")
+WHITE_BEGINS = re.compile(rf"[^{SPACES}][{SPACES}]")
 LOWER_WORDS = re.compile(rf"'(?:s|t|re|ve|m|ll|d)|[{LETTERS}]+|[0-9]|[^{SPACES}{LETTERS}0-9]+")
-#: Kept words and pieces of a generation, per worker.
+# Normalizer, pre-tokenizer and end of words of the two forms of file that are known.
+FORMS = (
+    (None, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}, ""),
+    (
+        {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+        {
+            "type": "Sequence",
+            "pretokenizers": [
+                {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+                {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+            ],
+        },
+        "</w>",
+    ),
+)
+#: Pairs of tokens that the transducer remembers, per worker.
 MEMO = 150_000
+#: Words of more bytes are merged by the library.
+LONGEST = 256
+#: Characters that are split and merged at a time.
+SLICE = 1 << 21
+#: What runs of characters are: white space, letters, digits, others, and the end of a text.
+WHITE, LETTER, DIGIT, OTHER, END = range(5)
+# What follows an apostrophe in a contraction.
+CONTRACTIONS = ("s", "t", "re", "ve", "m", "ll", "d")
 
 
 def byte_symbols() -> list[str]:
@@ -98,30 +119,113 @@ class Merges:
         return known
 
 
-class Memo(dict):
-    """Keys to packed ids, found when first asked for. Of two generations the older one goes when the younger is full."""
-
-    def __init__(self, find):
-        super().__init__()
-        self.find, self.older = find, {}
-
-    def __missing__(self, key: str) -> bytes:
-        got = self.older.get(key)
-        if got is None:
-            got = self.find(key)
-        if len(key) < 64:
-            if len(self) >= MEMO:
-                self.older = dict(self)
-                self.clear()
-            self[key] = got
-        return got
+class Batched:
+    """Merges for many words at a time. Words of one length are the rows of a matrix of symbols; in each step every row
+    merges its pair of the least rank, the first of equals, and rows without a known pair are done."""
+
+    def __init__(self, merges: Merges):
+        ids = merges.vocab
+        pairs = sorted((ids[a] << 32 | ids[b], rank, ids[a + b]) for (a, b), rank in merges.ranks.items())
+        self.keys = np.array([k for k, _, _ in pairs], np.int64)
+        self.rank = np.array([r for _, r, _ in pairs], np.int32)
+        self.made = np.zeros(len(pairs), np.int32)
+        self.made[self.rank] = [m for _, _, m in pairs]
+        self.none = np.int32(len(pairs))
+        self.inside = np.array([ids[c] for c in merges.chars], np.int32)
+        self.last = np.array([ids[c + merges.end] for c in merges.chars], np.int32)
+        byte = np.arange(256)
+        self.pairs = self.ranks(self.inside[byte][:, None], self.inside[byte][None, :]).ravel()
+        self.end_pairs = self.ranks(self.inside[byte][:, None], self.last[byte][None, :]).ravel()
+        self.dtype = np.dtype("<u2") if max(ids.values()) < 65536 else np.dtype("<u4")
+
+    def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        key = left.astype(np.int64) << 32 | right
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.rank[at], self.none)
+
+    def encode(self, raw: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Symbols of the words at starts of the bytes raw: all in one array, and where each word's begin and how many they are."""
+        parts, held = [], 0
+        first, many = np.zeros(len(starts), np.int64), np.zeros(len(starts), np.int64)
+        order = np.argsort(sizes, kind="stable")
+        edges = np.flatnonzero(np.diff(sizes[order])) + 1
+        for own in np.split(order, edges):
+            if not len(own) or sizes[own[0]] > LONGEST:
+                continue
+            s = raw[starts[own][:, None] + np.arange(sizes[own[0]])]
+            for done, found in self._merge(s):
+                k = found.shape[1]
+                first[own[done]] = held + k * np.arange(len(done))
+                many[own[done]] = k
+                parts.append(found.astype(self.dtype).ravel())
+                held += found.size
+        return np.concatenate(parts) if parts else np.zeros(0, self.dtype), first, many
+
+    def _merge(self, raw: np.ndarray):
+        """(rows, their symbols) of a matrix of words, as they are done."""
+        s = self.inside[raw]
+        s[:, -1] = self.last[raw[:, -1]]
+        owner = np.arange(len(s))
+        both = raw[:, :-1].astype(np.int32) << 8 | raw[:, 1:]
+        r = self.pairs[both]
+        if raw.shape[1] > 1:
+            r[:, -1] = self.end_pairs[both[:, -1]]
+        while len(s):
+            if s.shape[1] == 1:
+                yield owner, s
+                return
+            j = r.argmin(1)
+            least = r[np.arange(len(s)), j]
+            done = least == self.none
+            if done.any():
+                yield owner[done], s[done]
+                on = ~done
+                s, owner, r, j, least = s[on], owner[on], r[on], j[on], least[on]
+            row, at = np.arange(len(s)), j[:, None]
+            places = np.arange(s.shape[1] - 1)
+            s = np.where(places <= at, s[:, :-1], s[:, 1:])
+            s[row, j] = self.made[least]
+            r = np.where(places[:-1] < at, r[:, :-1], r[:, 1:])
+            k = np.flatnonzero(j > 0)
+            r[k, j[k] - 1] = self.ranks(s[k, j[k] - 1], s[k, j[k]])
+            k = np.flatnonzero(j < s.shape[1] - 1)
+            r[k, j[k]] = self.ranks(s[k, j[k]], s[k, j[k] + 1])
+
+
+class Powers:
+    """An odd number's powers modulo 2^64: the first and, of any places, the inverses; from two tables."""
+
+    def __init__(self):
+        base = 0x9E3779B97F4A7C15
+        self.tables = []
+        for b in (base, pow(base, -1, 1 << 64)):
+            low = np.full(4096, b, np.uint64)
+            low[0] = 1
+            low = np.cumprod(low, dtype=np.uint64)
+            self.tables.append((low, pow(b, 4096, 1 << 64)))
+
+    def _high(self, k: int, n: int) -> np.ndarray:
+        high = np.full(n // 4096 + 1, self.tables[k][1], np.uint64)
+        high[0] = 1
+        return np.cumprod(high, dtype=np.uint64)
+
+    def first(self, n: int) -> np.ndarray:
+        return (self._high(0, n)[:, None] * self.tables[0][0][None, :]).ravel()[:n]
+
+    def inverse(self, at: np.ndarray, n: int) -> np.ndarray:
+        """Of the powers at places under n."""
+        return self._high(1, n)[at >> 12] * self.tables[1][0][at & 4095]
+
+
+POWERS = Powers()
 
 
 class Encoder:
     """Whole texts to ids, equal to the library's encode(add_special_tokens=False).
 
-    The library's model encodes each distinct word once; texts are put together from the kept words. A space before
-    a word starts a new word in both vocabularies, so texts are cut at single spaces first.
+    Texts of the plain set are cut into words as arrays of character classes; each distinct word of a slice is merged
+    once and the ids are gathered word by word. Nothing is kept between slices. Texts with other characters, and all
+    texts where the file's normalizer or pattern is none of the two known ones, go to the library.
     """
 
     def __init__(self, path: str):
@@ -129,56 +233,140 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.model = self.library.model
-        self.lower = bool(self.model.end_of_word_suffix)
-        self.dtype = np.dtype("<u2") if self.library.get_vocab_size() <= 65536 else np.dtype("<u4")
-        self.code = "H" if self.dtype.itemsize == 2 else "I"
-        self.chars = byte_symbols()
-        self.pattern = LOWER_WORDS if self.lower else BYTE_WORDS
-        self.words = Memo(self._word)
-        self.heads = Memo(self._piece)
-        self.pieces = self.heads if self.lower else Memo(self._spaced)
-
-    def _word(self, word: str) -> bytes:
-        if not (word.isalpha() and word.isascii()):  # other bytes have stand-ins
-            chars = self.chars
-            word = "".join([chars[b] for b in word.encode()])
-        return array(self.code, [t.id for t in self.model.tokenize(word)]).tobytes()
-
-    def _piece(self, piece: str) -> bytes:
-        if piece.isalpha():
-            return self._word(piece)
-        if piece[:-1].isalpha() and piece[-1] in ".,":
-            return self.heads[piece[:-1]] + self.words[piece[-1]]
-        return b"".join(map(self.words.__getitem__, self.pattern.findall(piece)))
-
-    def _spaced(self, piece: str) -> bytes:
-        """As _piece, with a space before it."""
-        if piece.isalpha():
-            return array(self.code, [t.id for t in self.model.tokenize("Ġ" + piece)]).tobytes() if piece.isascii() else self._word(" " + piece)
-        if piece[:-1].isalpha() and piece[-1] in ".,":
-            return self.pieces[piece[:-1]] + self.words[piece[-1]]
-        return self._piece(" " + piece)
+        merges = Merges(path)
+        self.known = known_pattern(path)
+        self.lower, self.chars = merges.lower, merges.chars
+        self.batched = Batched(merges) if self.known else None
+        self.dtype = self.batched.dtype if self.known else np.dtype("<u4")
+        table = np.full(0x2100, OTHER, np.uint8)
+        table[[ord(c) for c in SPACES]] = WHITE
+        table[[i for i in range(len(table)) if LETTERS_RE.match(chr(i))]] = LETTER
+        table[ord("0") : ord("9") + 1] = DIGIT
+        table[0] = END
+        self.table = table
 
     def _whole(self, text: str) -> np.ndarray:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, self.dtype)
 
     def encode(self, text: str) -> np.ndarray:
-        if not text:
-            return np.zeros(0, self.dtype)
-        if "<|" in text or not PLAIN.fullmatch(text):
-            return self._whole(text)
-        if self.lower:
-            return np.frombuffer(b"".join(map(self.pieces.__getitem__, text.lower().split(" "))), self.dtype)
-        if "  " in text or text[-1] == " " or text[0] == " ":  # such a space is not the start of one word
-            return self._whole(text)
-        first, *rest = text.split(" ")
-        return np.frombuffer(self.heads[first] + b"".join(map(self.pieces.__getitem__, rest)), self.dtype)
-
+        return self.encode_many([text])[0]
 
     def encode_many(self, texts: list) -> list[np.ndarray]:
         """ids of each text; a null is empty."""
-        return [self.encode(t or "") for t in texts]
+        parts: list[list[np.ndarray]] = [[] for _ in texts]
+        held, size = [], 0
+
+        def settle() -> None:
+            if held:
+                for (i, _), ids in zip(held, self._plain([t for _, t in held]), strict=True):
+                    parts[i].append(ids)
+                held.clear()
+
+        for i, text in enumerate(texts):
+            if not text:
+                continue
+            if not self.known or "<|" in text or not PLAIN.fullmatch(text):
+                parts[i].append(self._whole(text))
+                continue
+            for part in cut_at_white(text):
+                held.append((i, part.lower() if self.lower else part))
+                size += len(part)
+                if size >= SLICE:
+                    settle()
+                    size = 0
+        settle()
+        return [p[0] if len(p) == 1 else np.concatenate(p) if p else np.zeros(0, self.dtype) for p in parts]
+
+    def _starts(self, char: np.ndarray, kind: np.ndarray) -> np.ndarray:
+        """Whether a word starts at each character; texts end in an END, which is a word of its own."""
+        start = np.ones(len(char), bool)
+        start[1:] = kind[1:] != kind[:-1]
+        if self.lower:
+            start |= kind == DIGIT
+        else:  # the last of white space before a word is cut off; a blank goes with the word
+            last = np.flatnonzero((kind[:-1] == WHITE) & (kind[1:] != WHITE) & (kind[1:] != END))
+            start[last] = True
+            start[last[char[last] == 32] + 1] = False
+        a = np.flatnonzero((char == 39) & start)
+        a = a[kind[a + 1] == LETTER]
+        one = a[np.isin(char[a + 1], [ord(c) for c in CONTRACTIONS if len(c) == 1])]
+        start[one + 1], start[one + 2] = False, True
+        pair = char[a + 1].astype(np.int64) << 16 | char[a + 2]
+        two = a[np.isin(pair, [ord(c[0]) << 16 | ord(c[1]) for c in CONTRACTIONS if len(c) == 2])]
+        start[two + 1], start[two + 2], start[two + 3] = False, False, True
+        return start
+
+    def _plain(self, texts: list[str]) -> list[np.ndarray]:
+        joined = "\0".join(texts) + "\0"
+        char = np.frombuffer(joined.encode("utf-32-le"), "<u4")
+        kind = self.table[char]
+        at = np.flatnonzero(self._starts(char, kind))
+        end = np.append(at[1:], len(char))
+        ends = kind[at] == END
+        text = np.cumsum(ends) - ends
+        wanted = ~ends & (kind[at] != WHITE) if self.lower else ~ends
+        at, end, text = at[wanted], end[wanted], text[wanted]
+        raw = np.frombuffer(joined.encode(), np.uint8)
+        if len(raw) != len(char):  # places of characters to places of bytes
+            place = np.concatenate([[0], np.cumsum(1 + (char >= 0x80) + (char >= 0x800))])
+            at, end = place[at], place[end]
+        sizes = end - at
+        inverse, one = self._distinct(raw, at, sizes)
+        flat, first, many = self.batched.encode(raw, at[one], sizes[one])
+        flat, first, many = self._long(raw, at[one], sizes[one], flat, first, many)
+        n = many[inverse]
+        upto = np.concatenate([[0], np.cumsum(n)])
+        ids = flat[np.repeat(first[inverse] - upto[:-1], n) + np.arange(upto[-1])]
+        edges = upto[np.searchsorted(text, np.arange(len(texts) + 1))]
+        return [ids[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)]
+
+    def _long(self, raw, at, sizes, flat, first, many):
+        for i in np.flatnonzero(sizes > LONGEST):
+            symbols = "".join([self.chars[b] for b in raw[at[i] : at[i] + sizes[i]].tolist()])
+            ids = np.array([t.id for t in self.library.model.tokenize(symbols)], self.dtype)
+            first[i], many[i] = len(flat), len(ids)
+            flat = np.append(flat, ids)
+        return flat, first, many
+
+    @staticmethod
+    def _distinct(raw: np.ndarray, at: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each word the number of its kind, and for each kind one word. Kinds are found by hashes and then compared."""
+        total = np.zeros(len(raw) + 1, np.uint64)
+        np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * POWERS.first(len(raw)), out=total[1:])
+        hashed = (total[at + sizes] - total[at]) * POWERS.inverse(at, len(raw) + 1)
+        hashed ^= hashed >> np.uint64(29)
+        _, one, inverse = np.unique(hashed, return_index=True, return_inverse=True)
+        n = np.concatenate([[0], np.cumsum(sizes)])
+        if same := bool((sizes[one][inverse] == sizes).all()):
+            inside = np.arange(n[-1], dtype=np.int32)
+            same = bool((raw[np.repeat((at - n[:-1]).astype(np.int32), sizes) + inside] == raw[np.repeat((at[one][inverse] - n[:-1]).astype(np.int32), sizes) + inside]).all())
+        if not same:  # two words of one hash: tell them apart by their bytes
+            words: dict[bytes, int] = {}
+            inverse = np.array([words.setdefault(raw[a : a + k].tobytes(), len(words)) for a, k in zip(at, sizes, strict=True)], np.int64)
+            _, one = np.unique(inverse, return_index=True)
+        return inverse, one
+
+
+def cut_at_white(text: str) -> list[str]:
+    """Parts of some SLICE characters, cut where white space begins: no word reaches across."""
+    parts, at = [], 0
+    while len(text) - at > SLICE:
+        found = WHITE_BEGINS.search(text, at + SLICE)
+        if found is None:
+            break
+        parts.append(text[at : found.end() - 1])
+        at = found.end() - 1
+    parts.append(text[at:])
+    return parts
+
+
+def known_pattern(path: str) -> bool:
+    """Whether a file's normalizer, pre-tokenizer and model are of one of the known forms."""
+    spec = json.load(open(path, encoding="utf-8"))
+    model = spec["model"]
+    plain = model["type"] == "BPE" and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "byte_fallback", "ignore_merges"))
+    form = (spec.get("normalizer"), spec.get("pre_tokenizer"), model.get("end_of_word_suffix") or "")
+    return plain and form in FORMS and not spec.get("truncation") and not spec.get("padding")
 
 
 @lru_cache(maxsize=4)

@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldledger.llm.bpe import encoder
+from fieldledger.llm.common import small_batches, take_turn
 from fieldledger.session import drop_path, fresh_path, materialize, table
 
 END_ID = 2
@@ -74,11 +75,12 @@ def merkle_root(leaves: list[bytes]) -> bytes:
 
 def _encoded(path: str, end_id: int):
     def run(batches):
+        take_turn("encoder")
         e = encoder(path)
-        for batch in _small(batches):
+        for batch in small_batches(batches):
             cols: list[list] = [[], [], [], []]
-            for text in batch.column("text").to_pylist():
-                ids = np.append(e.encode(text or ""), np.array(end_id, e.dtype)).astype(e.dtype)
+            for got in e.encode_many(batch.column("text").to_pylist()):
+                ids = np.append(got, np.array(end_id, e.dtype)).astype(e.dtype)
                 ends, blob, width = cut_points(ids), ids.tobytes(), e.dtype.itemsize
                 starts = np.concatenate([[0], ends[:-1]])
                 cols[0].append(width)
@@ -104,7 +106,7 @@ def _packed(batches):
     from pyspark import TaskContext
 
     part, at, notes = TaskContext.get().partitionId(), 0, {}
-    for batch in _small(batches):
+    for batch in small_batches(batches):
         cols: dict[str, list] = {c: [] for c in ("part", "doc_id", "local_start", "n_tokens", "width", "sizes", "addresses", "borrowed", "lent", "root", "pack")}
         for row in batch.to_pylist():
             if row["seqs"] is not None:
@@ -181,7 +183,7 @@ def write_store(docs: DataFrame, vocabulary: str, target: str | None = None, end
 
 def _lend(batches):
     """The chunks that others hold too."""
-    for batch in _small(batches):
+    for batch in small_batches(batches):
         his, los, blobs = [], [], []
         for row in batch.to_pylist():
             borrowed, lent, k = set(row["borrowed"]), set(row["lent"]), 0
@@ -197,18 +199,11 @@ def _lend(batches):
         yield pa.RecordBatch.from_arrays([pa.array(his, pa.int64()), pa.array(los, pa.int64()), pa.array(blobs, pa.binary())], ["hi", "lo", "chunk"])
 
 
-def _small(batches, rows: int = 1000):
-    """Batches in slices, so that few rows are Python objects at a time."""
-    for batch in batches:
-        for k in range(0, batch.num_rows, rows):
-            yield batch.slice(k, rows)
-
-
 def _restore(bases: dict[int, int], with_ids: bool):
     """Documents from their packs and their borrowed chunks, checked against addresses and roots."""
 
     def run(batches):
-        for batch in _small(batches):
+        for batch in small_batches(batches):
             out: list[list] = [[], [], [], [], []]
             for row in batch.to_pylist():
                 borrowed = set(row["borrowed"])

@@ -1,16 +1,18 @@
 """Encoding, the id store, packing and token counts against the library and brute force."""
 
+import json
 import random
 import zlib
 from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow.parquet as pq
 import pytest
 from helpers import make, odd_rows
 from tokenizers import Tokenizer
 
-from fieldledger.llm import idstore, packing, tokencount
+from fieldledger.llm import bpe, idstore, packing, tokencount
 from fieldledger.llm.bpe import Encoder
 from fieldledger.llm.tokencount import Counter as TokenCounter
 from fieldledger.llm.tokencount import Exit
@@ -31,6 +33,32 @@ def test_encoder_is_the_library(path):
         assert e.encode(text).tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+@pytest.mark.parametrize("path", [BYTE, WORD])
+def test_batches_are_the_library(path, monkeypatch):
+    """Whole tables and odd texts, many at a time, in slices and parts of any size."""
+    library, docs = Tokenizer.from_file(path), pq.read_table("/root/testdata/sf0.01/documents.parquet").column("text").to_pylist()
+    texts = [*odd_texts(3000), None, *docs, "x" * 3000 + " y", "word " * 5000, "a\n \n b  c\n", "don't 's 're re's'd ''s"]
+    want = [library.encode(t or "", add_special_tokens=False).ids for t in texts]
+    e = Encoder(path)
+    assert e.known and [x.tolist() for x in e.encode_many(texts)] == want
+    monkeypatch.setattr(bpe, "SLICE", 50)
+    assert [x.tolist() for x in e.encode_many(texts[:3100])] == want[:3100]
+
+
+def test_words_of_one_hash_are_told_apart(monkeypatch):
+    monkeypatch.setattr(bpe.Powers, "inverse", lambda self, at, n: np.zeros(len(at), np.uint64))
+    e, library = Encoder(BYTE), Tokenizer.from_file(BYTE)
+    assert e.encode("one two, two three").tolist() == library.encode("one two, two three", add_special_tokens=False).ids
+
+
+def test_unknown_forms_go_to_the_library(tmp_path):
+    spec = json.load(open(BYTE, encoding="utf-8"))
+    spec["normalizer"] = {"type": "Lowercase"}
+    (tmp_path / "other.json").write_text(json.dumps(spec))
+    e = Encoder(str(tmp_path / "other.json"))
+    assert not e.known and e.encode("Some Text").tolist() == Tokenizer.from_file(BYTE).encode("some text", add_special_tokens=False).ids
+
+
 @pytest.mark.parametrize("chunk", [3, 7, 1 << 16])
 def test_transducer_is_the_library(chunk, monkeypatch):
     monkeypatch.setattr(tokencount, "CHUNK", chunk)
