@@ -8,7 +8,7 @@ from fieldledger.llm.ngramjoin import ORACLE_OP6, op6_ngram_join
 from fieldledger.llm.packing import op3_best_fit_packing
 from fieldledger.llm.quality import ORACLE_OP2, op2_quality_rules
 from fieldledger.llm.tokencount import op9_token_counts
-from fieldledger.llm.topk import op4_top_k
+from fieldledger.llm.topk import ORACLE_OP4, op4_top_k
 from fieldledger.llm.toxicity import op10_toxicity
 
 QUERIES = {
@@ -26,6 +26,7 @@ QUERIES = {
 
 ORACLES: dict[str, str] = {
     "op2_quality_rules": ORACLE_OP2,
+    "op4_top_k": ORACLE_OP4,
     "op6_ngram_join": ORACLE_OP6,
     "op7_chat_format": ORACLE_OP7,
 }
