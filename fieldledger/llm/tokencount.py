@@ -7,9 +7,12 @@ start inside it, the last token of the encoding up to there and how many tokens
 a symbol finds the one vocabulary entry that ends there and may stand beside the token before it; the transition emits
 the change of the count. States are compiled when first reached and kept, as lazy automata are.
 
-A chunk of a text becomes a state map: what it reads before its first white space (which runs from any entry state), the
-count between, and the exit state. State maps compose associatively; a scan of doubling strides composes the chunks of a
-text. Texts beyond LONG characters are cut into rows, mapped on many tasks and composed from their small maps.
+A chunk of a text becomes a state map. Wherever a word ends whatever the state was (at white space, after a digit, and
+where letters and other characters meet, but not after an apostrophe) all entry states become one, so a map is the head
+up to the first such place, which is run from the entry state, the count from there to the end, and the exit state. State
+maps compose associatively; a scan of doubling strides composes the chunks of a text. Texts beyond LONG characters are
+cut into rows, mapped on many tasks and composed from their small maps. Only a chunk that is all one word has no such
+place; its map is its text.
 """
 
 from __future__ import annotations
@@ -38,6 +41,9 @@ CONTRACTIONS = ("s", "t", "re", "ve", "m", "ll", "d")
 ANY_WORDS = regex.compile(rf"'(?:s|t|re|ve|m|ll|d)|\p{{L}}+|\p{{N}}|[^{WHITE}\p{{L}}\p{{N}}]+")
 ANY_WHITE = re.compile(f"[{WHITE}]+")
 PLAIN_LETTER = re.compile(f"[{LETTERS}]")
+#: Characters before which a word ends, whatever was read before; the same from the end of a text.
+MEETING = rf"(?<=\p{{N}})[\s\S]|(?<=\p{{L}})[^\p{{L}}]|(?<=[^{WHITE}\p{{L}}\p{{N}}'])[{WHITE}\p{{L}}\p{{N}}]|[{WHITE}]"
+FIRST_MEETING, LAST_MEETING = regex.compile(MEETING), regex.compile(f"(?r){MEETING}")
 
 
 class Transducer:
@@ -150,7 +156,7 @@ class Exit:
 
 @dataclass
 class StateMap:
-    """What a chunk does: text up to its first white space, count after that, exit state; or head alone, if none."""
+    """What a chunk does: text up to where all states meet, count after that, exit state; or head alone, if nowhere."""
 
     head: str
     count: int = 0
@@ -230,15 +236,12 @@ class Counter:
 
     def map(self, text: str) -> StateMap:
         """State map of a normalised chunk."""
-        first = ANY_WHITE.search(text)
+        first = FIRST_MEETING.search(text)
         if first is None:
             return StateMap(text)
-        body = text[first.start() :]
-        k = max(body.rfind(" "), body.rfind("\n"))
-        if k < 0:
-            k = [m.start() for m in ANY_WHITE.finditer(body)][-1]
-        exit_, n = self.read(Exit(), body[k:])
-        return StateMap(text[: first.start()], self.machine.count(self.words(body[:k])) + n, exit_)
+        at, k = first.start(), LAST_MEETING.search(text).start()
+        exit_, n = self.read(Exit(), text[k:])
+        return StateMap(text[:at], self.machine.count(self.words(text[at:k])) + n, exit_)
 
     def compose(self, a: StateMap, b: StateMap) -> StateMap:
         if a.exit is None:
@@ -257,10 +260,8 @@ class Counter:
         return maps
 
     def total(self, maps: list[StateMap]) -> int:
-        """Tokens of the text whose chunks these are: composed in pairs, a tree of the same depth as the scan."""
-        while len(maps) > 1:
-            maps = [self.compose(*maps[i : i + 2]) if i + 1 < len(maps) else maps[i] for i in range(0, len(maps), 2)]
-        whole = maps[0]
+        """Tokens of the text whose chunks these are."""
+        whole = self.scan(maps)[-1]
         at, n = self.read(Exit(), whole.head)
         n += self.close(at)
         return n if whole.exit is None else n + whole.count + self.close(whole.exit)
@@ -347,8 +348,8 @@ def _composed(path: str):
 def count_tokens(docs: DataFrame, path: str, limit: int = LIMIT, long: int = LONG) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit for each document.
 
-    A null or empty text has no bytes and no tokens. Rows that repeat a doc_id are counted one by one. An empty table
-    gives no rows.
+    docs: doc_id, text; further columns are not looked at. A null or empty text has no bytes and no tokens. Rows that
+    repeat a doc_id, null ones too, are counted one by one. An empty table gives no rows.
     """
     kind_ = docs.schema["doc_id"].dataType.simpleString()
     text = F.coalesce(F.col("text"), F.lit(""))

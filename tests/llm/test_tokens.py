@@ -10,6 +10,7 @@ import public_tokenizers
 import pyarrow.parquet as pq
 import pytest
 from helpers import make, odd_rows
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from fieldledger.llm import bpe, idstore, packing, tokencount
@@ -75,6 +76,27 @@ def test_transducer_is_the_library(chunk, monkeypatch):
             assert n + extra == want
 
 
+def test_maps_of_texts_without_white_space_are_small():
+    c = TokenCounter(WORD)
+    for text in ("日本語、" * 1000, "a1" * 2000, "x-y'" * 1000):
+        assert len(c.map(text).head) < 8
+        assert c.total([c.map(text[k : k + 11]) for k in range(0, len(text), 11)]) == len(Tokenizer.from_file(WORD).encode(text, add_special_tokens=False).ids)
+
+
+def test_null_and_repeated_ids_and_further_columns(spark):
+    rows = [(None, "one two"), (3, "one"), (3, "one two three"), (3, "one")]
+    docs = make(spark, rows).withColumn("row", F.lit(1)).withColumn("part", F.lit(2)).withColumn("length", F.lit(3))
+    for long in (1 << 20, 2):
+        got = sorted(((r["doc_id"], r["n_tokens"]) for r in tokencount.count_tokens(docs, WORD, long=long).collect()), key=repr)
+        assert got == sorted([(None, 2), (3, 1), (3, 3), (3, 1)], key=repr)
+    packed = packing.pack(docs, WORD).collect()
+    assert sorted(((r["doc_id"], r["length"]) for r in packed), key=repr) == sorted([(None, 3), (3, 2), (3, 4), (3, 2)], key=repr)
+    stored = idstore.read_store(spark, idstore.write_store(docs, BYTE)).collect()
+    assert sorted((r["doc_id"] is None, r["n_tokens"]) for r in stored) == [(False, 2), (False, 2), (False, 4), (True, 3)]
+    empty = idstore.write_store(docs.limit(0), BYTE)
+    assert idstore.read_store(spark, empty).count() == 0
+
+
 def test_count_tokens(spark):
     docs = make(spark, odd_rows())
     library = Tokenizer.from_file(WORD)
