@@ -12,11 +12,11 @@ labelled documents a language, drawn by a hash of the id, and is counted on the
 
 from __future__ import annotations
 
-import re
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,7 +28,7 @@ ORDER = 3
 MAX_DOCS = 1_500
 #: Bytes of text that are scored at once.
 SLICE = 1 << 19
-HAS_LETTER = re.compile(r"[^\W\d_]")
+HAS_LETTER = regex.compile(r"\p{L}")  # numbers like ½ and ² are none
 FOLD = bytes(b if 97 <= b <= 122 or b >= 128 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
 UNKNOWN = "und"
 
@@ -157,8 +157,9 @@ def code_lengths(model, texts: list[str]) -> np.ndarray:
 def identify(docs: DataFrame, model) -> DataFrame:
     """doc_id, held_out, lang_pred, score (the chosen language's share of the probability) for each document.
 
-    A text that is null or has no letter, and any text where nothing could be learnt, is `und` with score 0. Equal code
-    lengths choose the language that sorts first.
+    docs: doc_id, text; further columns are not looked at. A text that is null or has no letter, and any text where
+    nothing could be learnt, is `und` with score 0. Equal code lengths choose the language that sorts first. Rows that
+    repeat a doc_id, null ones too, are judged one by one; an empty table gives no rows.
     """
     names = model[0]
 
