@@ -5,10 +5,14 @@ largest value in [0, 1] whose weights have the target entropy, and raised, if ne
 often than the limit. Shares never leave the executors: a job returns a few sums for each trial value.
 
 The weights are realised within a token budget (by default the least at which no document is left out): a source's quota
-is a number of whole epochs and a rest. Documents are dealt into blocks of a few hundred by hash; each epoch orders the
-blocks anew. The rest takes whole blocks in that order and, of the block at the border, documents in hash order. A
+is a number of whole epochs and a rest. Documents are dealt by hash into blocks of some hundred, or of the root of the
+source's documents if that is more, so that neither the blocks of a source nor the documents of a block are many; each
+epoch orders the blocks anew. The rest takes whole blocks in that order and, of the block at the border, documents in hash order. A
 document's copies follow from its source, its block and its hash alone, so a source with a third of all rows is no hot
 spot: only block totals are ordered by source.
+
+Tokens are white-space words, or what a column of the documents says: a tokenizer can't be run by SQL functions, but its
+counts can be given.
 """
 
 from __future__ import annotations
@@ -87,13 +91,13 @@ def find_alpha(sources: DataFrame, target: float, max_repeats: float, budget: fl
     return Temperature(alpha, z, total, float(budget if budget is not None else least))
 
 
-def _sized(docs: DataFrame) -> DataFrame:
-    """doc_id, source (null: empty), tokens (white-space words) and the document's draw."""
+def _sized(docs: DataFrame, tokens: str | None = None) -> DataFrame:
+    """doc_id, source (null: empty), tokens (of that column, else white-space words) and the document's draw."""
     text = F.translate(F.coalesce(F.col("text"), F.lit("")), SPACE_CHARS[1:], " " * (len(SPACE_CHARS) - 1))
     return docs.select(
         "doc_id",
         F.coalesce("source", F.lit("")).alias("source"),
-        F.size(F.array_remove(F.split(text, " "), "")).cast("long").alias("tokens"),
+        (F.coalesce(F.col(f"`{tokens}`").cast("long"), F.lit(0)) if tokens else F.size(F.array_remove(F.split(text, " "), "")).cast("long")).alias("tokens"),
         draw().alias("draw"),
     )
 
@@ -113,7 +117,7 @@ def plan_mix(sized: DataFrame, target: float = TARGET, max_repeats: float = MAX_
     near = F.floor(F.col("quota") / F.col("tokens") + 1e-6)
     sources = sources.withColumn("weight", share).withColumn("quota", quota).withColumn("epochs", F.when(F.col("tokens") > 0, near).otherwise(F.lit(1)).cast("int"))
     sources = sources.withColumn("rest", F.greatest(F.col("quota") - F.col("epochs") * F.col("tokens"), F.lit(0.0))).withColumn(
-        "blocks", F.ceil(F.col("docs") / BLOCK_ROWS).cast("long")
+        "blocks", F.ceil(F.col("docs") / F.greatest(F.lit(float(BLOCK_ROWS)), F.sqrt("docs"))).cast("long")
     )
     sources = materialize(sources, "weights")
     few = broadcast_if_small(sources, sources.count())
@@ -142,7 +146,7 @@ def plan_mix(sized: DataFrame, target: float = TARGET, max_repeats: float = MAX_
     return sources, materialize(places.join(limits, ["source", "block"], "left"), "plan")
 
 
-def mix(docs: DataFrame, **options) -> DataFrame:
+def mix(docs: DataFrame, tokens: str | None = None, **options) -> DataFrame:
     """docs with epoch, block, place and weight, a row for each time a document is used.
 
     place orders all rows so that every stretch has the target weights; equal places are ordered by nothing further. A
@@ -150,7 +154,7 @@ def mix(docs: DataFrame, **options) -> DataFrame:
     epoch. Rows that repeat both doc_id and text are drawn together; a null doc_id is an id like others. Further columns
     pass through, whatever their names (a column named like one that mix adds comes twice). An empty table gives no rows.
     """
-    sized = materialize(_sized(docs), "sized")
+    sized = materialize(_sized(docs, tokens), "sized")
     sources, blocks = plan_mix(sized, **options)
     n_sources, n_blocks = sources.count(), blocks.count()
     few = broadcast_if_small(sources.select(F.col("source").alias("mix_source"), "weight", "epochs", F.col("blocks").alias("n_blocks")), n_sources)
