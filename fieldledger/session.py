@@ -99,3 +99,20 @@ def drop_path(spark: SparkSession, path: str) -> None:
 def broadcast_if_small(df: DataFrame, rows: int, limit: int = 200_000) -> DataFrame:
     """Hints a broadcast only where the counted rows are under the limit; beyond it Spark joins by shuffling."""
     return F.broadcast(df) if rows <= limit else df
+
+
+#: Rows of one key that a task joins, about, where keys may be hot.
+HOT = 20_000
+
+
+def spread_join(many: DataFrame, few: DataFrame, keys: list[str], row: str, counts: DataFrame, how: str = "inner") -> DataFrame:
+    """many joined (inner or left) with few, whose keys are unique; counts: keys and uses, how many rows of many have each.
+
+    A key with more than HOT rows is dealt over several tasks: its rows by a hash of row, its one partner to each of them.
+    """
+    hot = materialize(counts.filter(F.col("uses") > HOT).select(*keys, F.ceil(F.col("uses") / HOT).alias("_salts")), "hot-keys")
+    hot = broadcast_if_small(hot, hot.count())
+    salts = F.coalesce("_salts", F.lit(1).cast("long"))
+    salted = many.join(hot, keys, "left").withColumn("_salt", F.pmod(F.xxhash64(row), salts)).drop("_salts")
+    wide = few.join(hot, keys, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1))).drop("_salts")
+    return salted.join(wide, [*keys, "_salt"], how).drop("_salt")
