@@ -70,6 +70,18 @@ def interval_join(rows: DataFrame, key: str, spans: DataFrame) -> DataFrame:
     return rows.join(keys, rows[key] == keys["_key"]).withColumn("offset", F.col(key) - F.col("first_row")).drop("_key", "first_row")
 
 
+def count_mismatches(counts: DataFrame, expected: DataFrame, key: str, found: str, wanted: str) -> DataFrame:
+    """Keys of both whose counts differ, with the two."""
+    return counts.join(expected, key).filter(F.col(found) != F.col(wanted))
+
+
+def select_named(rows: DataFrame, name: str, asked: list) -> DataFrame:
+    """asked (place in the request) and the row of each name that there is; unknown names are passed over."""
+    kind = rows.schema[name].dataType.simpleString()
+    wanted = rows.sparkSession.createDataFrame(list(enumerate(asked)), f"asked int, {name} {kind}")
+    return rows.join(F.broadcast(wanted), name)
+
+
 def override(base: DataFrame, changes: DataFrame, key: str, fields: list[str]) -> DataFrame:
     """base with the fields that changes gives (not null) in place of its own."""
     new = changes.select(key, *[F.col(f).alias(f"_{f}") for f in fields])

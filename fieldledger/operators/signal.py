@@ -101,9 +101,12 @@ def ruled_rows(lines: DataFrame, key: str, pos: str, merge: float = 0.35, least:
 
 def column_cuts(profile: DataFrame, key: str, pos: str, value: str, width: int, least: int, shares: tuple[float, float, float]) -> DataFrame:
     """key, a, b: the two cuts that part a page's ink into three columns, the pair of lowest valleys that leaves each its least share."""
+    w = Window.partitionBy(key).orderBy(pos)
     scored = cumulative_share(valley_scores(profile, key, pos, value, width), key, pos, value)
+    scored = scored.withColumns({"_l": F.lag("score").over(w), "_r": F.lead("score").over(w)})
+    scored = scored.filter((F.col("score") <= F.coalesce("_l", F.col("score"))) & (F.col("score") <= F.coalesce("_r", F.col("score"))))
     one, two = scored.select(key, F.col(pos).alias("a"), F.col("score").alias("sa"), F.col("share").alias("ca")), scored.select(key, F.col(pos).alias("b"), F.col("score").alias("sb"), F.col("share").alias("cb"))
-    # a page's profile has some thousand places; those with too little ink before them or after them are no cuts
+    # only valleys can be cuts, and only those with enough ink before them or after them; a page has a few dozen
     one, two = one.filter(F.col("ca") >= shares[0]), two.filter(F.col("cb") <= 1 - shares[2])
     points = one.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("a", "sa", "ca"))).alias("l")).join(two.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("b", "sb", "cb"))).alias("r")), key)
     pairs = F.flatten(

@@ -376,13 +376,12 @@ def min_confidence(spark, d):
 def count_mismatch_filter(spark, d):
     counts = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("k")).agg(F.count("*").alias("orders"))
     wanted = table(spark, d, "customer").select(F.col("c_custkey").alias("k"), F.col("c_nationkey").alias("expected"))
-    return counts.join(wanted, "k").filter("orders <> expected")
+    return lookups.count_mismatches(counts, wanted, "k", "orders", "expected")
 
 
 @query("SELECT CAST(p AS INTEGER) AS asked, doc_id FROM (VALUES (0, 3), (1, 1), (2, 7), (3, -5)) AS v(p, k) JOIN documents ON doc_id = k")
 def subset_join(spark, d):
-    asked = spark.createDataFrame([(0, 3), (1, 1), (2, 7), (3, -5)], "asked int, k long")
-    return table(spark, d, "documents").join(F.broadcast(asked), F.col("doc_id") == F.col("k")).select("asked", "doc_id")
+    return lookups.select_named(table(spark, d, "documents").select("doc_id"), "doc_id", [3, 1, 7, -5]).select("asked", "doc_id")
 
 
 # ---------------------------------------------------------------- joins
