@@ -237,6 +237,45 @@ def test_mixing(spark):
     assert mixing.mix(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("budget", [None, 7000.0])
+def test_mixing_by_hand(spark, monkeypatch, budget):
+    """Each document's uses, from quotas, epochs and the order of blocks worked out one by one; counts given in a column."""
+    monkeypatch.setattr(mixing, "BLOCK_ROWS", 8)
+    rows = [(i, sentence(i, 3 + i % 9), "big") for i in range(500)] + [(1000 + i, sentence(i, 4), "mid") for i in range(70)] + [(2000, sentence(1, 5), None)]
+    docs = make(spark, rows).withColumn("count", F.col("doc_id") % 7 + 1)
+    out = mixing.mix(docs, tokens="count", target=0.7, budget=budget).collect()
+    told = docs.select("doc_id", F.coalesce("source", F.lit("")).alias("s"), "count", mixing.draw().alias("draw")).collect()
+    tokens, n = Counter(), Counter()
+    for r in told:
+        tokens[r["s"]] += r["count"]
+        n[r["s"]] += 1
+    total = sum(tokens.values())
+    heat = mixing.find_alpha(spark.createDataFrame(list(tokens.items()), "source string, tokens long"), 0.7, mixing.MAX_REPEATS, budget)
+    power = {s: (t / total) ** heat.alpha for s, t in tokens.items()}
+    want = Counter()
+    for s, t in tokens.items():
+        quota = power[s] / sum(power.values()) * heat.budget
+        epochs, blocks = math.floor(quota / t + 1e-6), math.ceil(n[s] / max(8, math.sqrt(n[s])))
+        own = [r for r in told if r["s"] == s]
+        order = spark.range(blocks).select("id", F.xxhash64(F.lit(s), F.lit(epochs), F.col("id"), F.lit(mixing.SEED)).alias("h")).orderBy("h", "id").collect()
+        room = max(quota - epochs * t, 0.0)
+        used = set()
+        for b in (r["id"] for r in order):
+            inside = sorted((r["draw"], r["doc_id"], r["count"]) for r in own if r["draw"] % blocks == b)
+            if room <= 0:
+                break
+            for _, i, c in inside:
+                room -= c
+                if room < 0:
+                    break
+                used.add(i)
+        for r in own:
+            want[r["doc_id"]] = epochs + (r["doc_id"] in used)
+    assert Counter(r["doc_id"] for r in out) == +want
+    places = sorted((r["mix_place"], r["source"]) for r in out if r["source"] == "big")
+    assert len({r["mix_epoch"] for r in out if r["doc_id"] == 2000}) == want[2000] and 0 <= places[0][0] <= places[-1][0] <= 1
+
+
 def test_alpha_against_bisection(spark):
     tokens = [1000, 300, 50, 50, 7]
     sources = spark.createDataFrame([(str(i), n) for i, n in enumerate(tokens)], "source string, tokens long")
@@ -255,35 +294,47 @@ def test_alpha_against_bisection(spark):
     assert abs((1000 / 7) ** (1 - tight) - 2.0) < 1e-3
 
 
+def best_by_hand(rows, queries, k=topk.K):
+    """{query: [(doc, score)]} over all pairs."""
+    bags = [(i, Counter(topk.words(t))) for i, t in rows if i is not None]
+    mean = sum(sum(b.values()) for _, b in bags) / len(bags)
+    df = Counter(w for _, b in bags for w in b)
+    idf = {w: math.log(1 + (len(bags) - n + 0.5) / (n + 0.5)) for w, n in df.items()}
+    asked, out = defaultdict(set), {}
+    for q, text in queries:
+        asked[q] |= {w for w in topk.words(text) if w in idf}
+    for q, terms in asked.items():
+        scores = []
+        for i, b in bags:
+            norm = topk.K1 * (1 - topk.B + topk.B * sum(b.values()) / mean)
+            parts = [idf[w] * (b[w] * (topk.K1 + 1) / (b[w] + norm)) for w in terms if w in b]
+            if parts:
+                scores.append((i, round(math.fsum(parts), topk.PLACES)))
+        if scores and q is not None:
+            out[q] = sorted(scores, key=lambda x: (-x[1], x[0]))[:k]
+    return out
+
+
+def found(docs, queries, **options):
+    got = defaultdict(list)
+    for r in topk.top_k(docs, queries, **options).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append((r["doc_id"], r["score"]))
+    return dict(got)
+
+
 def test_top_k(spark, monkeypatch):
-    monkeypatch.setattr(topk, "SHARD_TOKENS", 2000)
+    monkeypatch.setattr(topk, "SHARD_TOKENS", 500)
     monkeypatch.setattr(topk, "QUERY_BLOCK", 3)
+    monkeypatch.setattr(topk, "GROWTH", 3)
     vocabulary = sentence(5, 60).split()
     rng = np.random.default_rng(3)
-    rows = [(i, " ".join(rng.choice(vocabulary, rng.integers(1, 80)))) for i in range(300)] + [(400, None), (401, ""), (402, rng.choice(vocabulary))]
+    rows = [(i, " ".join(rng.choice(vocabulary, rng.integers(1, 80)))) for i in range(300)] + [(400, None), (401, ""), (402, str(rng.choice(vocabulary))), (None, vocabulary[0]), (7, vocabulary[1])]
+    rows += [(500 + i, rows[3][1]) for i in range(15)]  # ties beyond k
     docs = make(spark, rows)
-    queries = docs.filter("doc_id % 50 = 0").selectExpr("doc_id AS query_id", "text")
-    got = defaultdict(list)
-    for r in topk.top_k(docs, queries).orderBy("query_id", "rank").collect():
-        got[r["query_id"]].append((r["doc_id"], r["score"]))
-    bags = {i: Counter(topk.words(t)) for i, t in rows}
-    mean = sum(sum(b.values()) for b in bags.values()) / len(bags)
-    df = Counter(w for b in bags.values() for w in b)
-    idf = {w: math.log(1 + (len(bags) - n + 0.5) / (n + 0.5)) for w, n in df.items()}
-    for q, bag in bags.items():
-        if q % 50 or not bag:
-            continue
-        terms = sorted((w for w in bag if df[w] >= topk.LEAST_DF), key=lambda w: (-(1 + math.log(bag[w])) * idf[w], w))[: topk.QUERY_TERMS]
-        scores = {}
-        for i, b in bags.items():
-            norm = topk.K1 * (1 - topk.B + topk.B * sum(b.values()) / mean)
-            parts = [idf[w] * (b[w] * (topk.K1 + 1) / (b[w] + norm)) for w in terms if w in b]
-            if parts:
-                scores[i] = math.fsum(parts)
-        best = sorted(scores.items(), key=lambda x: (-round(x[1], 9), x[0]))[: topk.K]
-        assert [round(s, 8) for _, s in got[q]] == [round(s, 8) for _, s in best]
-        assert [i for i, _ in got[q]] == [i for i, _ in best]
-    assert topk.top_k(docs.limit(0), queries).count() == 0
+    queries = docs.filter("doc_id % 50 = 0 OR doc_id IN (3, 402) OR doc_id IS NULL").selectExpr("CASE WHEN doc_id = 402 THEN 3 ELSE doc_id END AS query_id", "text", "doc_id AS rank")
+    want = best_by_hand(rows, [(r["query_id"], r["text"]) for r in queries.collect()])
+    assert found(docs, queries) == want and len(want) == 8
+    assert found(docs.limit(0), queries) == {} and found(docs, queries.limit(0)) == {}
 
 
 def test_top_k_asks_for_all_words(spark):
@@ -291,13 +342,23 @@ def test_top_k_asks_for_all_words(spark):
     common, rare = [f"c{i}" for i in range(400)], [f"r{i}" for i in range(24)]
     rows = [(0, " ".join(common + rare)), (1, " ".join(rare)), (2, " ".join(common))] + [(3 + i, " ".join(common[i::40])) for i in range(40)] + [(50 + i, " ".join(rare)) for i in range(3)]
     docs = make(spark, rows)
-    got = [(r["doc_id"], r["score"]) for r in topk.top_k(docs, docs.filter("doc_id = 0").selectExpr("doc_id AS query_id", "text"), k=2).orderBy("rank").collect()]
-    bags = {i: Counter(t.split()) for i, t in rows}
-    mean, df = sum(map(len, bags.values())) / len(bags), Counter(w for b in bags.values() for w in b)
-    scores = {i: math.fsum(math.log(1 + (len(bags) - df[w] + 0.5) / (df[w] + 0.5)) * 2.2 / (1 + 1.2 * (0.25 + 0.75 * len(b) / mean)) for w in b) for i, b in bags.items()}
-    want = sorted(scores.items(), key=lambda x: (-x[1], x[0]))[:2]
-    assert [i for i, _ in got] == [i for i, _ in want] and {i for i, _ in got} == {0, 2}
-    assert np.allclose([s for _, s in got], [s for _, s in want], rtol=1e-12)
+    got = found(docs, docs.filter("doc_id = 0").selectExpr("doc_id AS query_id", "text"), k=2)
+    assert got == best_by_hand(rows, rows[:1], k=2) and {i for i, _ in got[0]} == {0, 2}
+
+
+def test_bounds_prune_and_lose_nothing():
+    """Under the threshold of other shards most blocks are skipped; what is found is the same as without one."""
+    docs = [(i, sentence(i % 4, 30) + " " + sentence(i, 20 + i % 50)) for i in range(2000)]
+    shard = topk.Shard.build([i for i, _ in docs], [t for _, t in docs])
+    searcher = topk.Searcher(shard, float(shard.lengths.mean()))
+    terms = [np.array([searcher.where[w] for w in sorted(set(topk.words(docs[q][1])))]) for q in range(0, 2000, 50)]
+    starts, flat = np.concatenate([[0], np.cumsum([len(t) for t in terms])]), np.concatenate(terms)
+    idf = np.log(1 + (2000 - searcher.df + 0.5) / (searcher.df + 0.5))[flat]
+    open_ = sorted(searcher.search(flat, idf, starts, 10, np.zeros(len(terms))))
+    kth = np.array([sorted((s for q, _, s in open_ if q == i), reverse=True)[9] for i in range(len(terms))])
+    searcher.scored = 0
+    assert sorted(searcher.search(flat, idf, starts, 10, kth)) == open_
+    assert searcher.scored < 0.8 * 2000 * len(terms)
 
 
 def test_language_lengths_are_exact():
@@ -351,10 +412,11 @@ def test_language_held_out(spark):
     assert len(got) == len(docs) and all(r["held_out"] == held_out_id(r["doc_id"]) for r in got)
     held = [r["lang_pred"] == docs[r["doc_id"]] for r in got if r["held_out"]]
     assert sum(held) / len(held) > 0.97
-    odd = make(spark, [(1, None), (2, ""), (3, "12 34 !!"), (4, "the and of")])
+    odd = make(spark, [(1, None), (2, ""), (3, "12 34 !! ½ ² ①"), (4, "the and of"), (4, "der und das"), (None, "the and of")])
     model = language.learn(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
-    assert [(r["doc_id"], r["lang_pred"], r["score"]) for r in language.identify(odd, model).orderBy("doc_id").collect()][:3] == [(1, "und", 0.0), (2, "und", 0.0), (3, "und", 0.0)]
+    assert [(r["doc_id"], r["lang_pred"], r["score"]) for r in language.identify(odd, model).filter("doc_id < 4").orderBy("doc_id").collect()] == [(1, "und", 0.0), (2, "und", 0.0), (3, "und", 0.0)]
     assert {r["lang_pred"] for r in language.identify(odd, language.learn(odd.limit(0))).collect()} == {"und"}
+    assert language.identify(odd.limit(0), model).count() == 0 and language.identify(odd, model).count() == 6
 
 
 def test_toxicity_held_out(spark):
@@ -419,8 +481,14 @@ def test_fit_against_single_steps(monkeypatch):
 def test_toxicity_odd_rows(spark):
     docs = make(spark, odd_rows())
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
-    got = toxicity.score(docs, toxicity.train(docs, none)).collect()
+    model = toxicity.train(docs, none)
+    got = toxicity.score(docs, model).collect()
     assert len(got) == len(odd_rows()) and not any(r["predicted"] for r in got)
+    assert toxicity.score(docs.limit(0), model).count() == 0 and toxicity.drop_toxic(docs.limit(0), none).count() == 0
+    tie = toxicity.Model(0.0, np.zeros(0, np.int64), np.zeros(0), np.zeros((0, toxicity.FACTORS)))
+    twice = docs.unionByName(docs)
+    assert {(r["score"], r["predicted"]) for r in toxicity.score(twice, tie).collect()} == {(0.5, 1)} and toxicity.score(twice, tie).count() == 2 * len(got)
+    assert toxicity.score(clashing(spark, odd_rows()), tie).columns == ["doc_id", "held_out", "score", "predicted"]
     assert toxicity.drop_toxic(docs, none).columns == docs.columns
 
 
