@@ -34,6 +34,12 @@ def column_widths(df: DataFrame, columns: list[str]) -> DataFrame:
     return long.select("column", F.least(F.greatest(F.col("longest") + 2, F.lit(10)), F.lit(60)).alias("width"))
 
 
+def page_json(rows: DataFrame) -> DataFrame:
+    """batch_id, page_no, grid: a page's output rows as JSON, in order."""
+    row = F.struct("row_index", F.coalesce("survey", F.lit("")).alias("survey"), "meter", "status")
+    return rows.groupBy("batch_id", "page_no").agg(F.to_json(F.sort_array(F.collect_list(row))).alias("grid"))
+
+
 def cell_view(name: str) -> Column:
     """What a reviewer sees of a cell; <name>_raw is its reading."""
     cell = F.col(name)

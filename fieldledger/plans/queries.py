@@ -878,7 +878,7 @@ def split_remark(spark, d):
 @query("SELECT batch_id, page_no, concat('[', string_agg(concat('{\"row_index\":', CAST(row_index AS VARCHAR), ',\"survey\":\"', survey_raw, '\",\"meter\":\"', pfx, d5, '\",\"status\":\"ok\"}'), ',' ORDER BY row_index), ']') AS grid FROM nb GROUP BY 1, 2", nb=True)
 def grid_to_json(spark, d):
     rows = nb_sql(spark, d, "SELECT batch_id, page_no, row_index, nullif(survey_raw, '') AS survey, concat(pfx, d5) AS meter, 'ok' AS status FROM nb")
-    return review.grid_json(rows)
+    return review.page_json(rows)
 
 
 @query(f"SELECT batch_id, 'gap' AS kind, count(*) AS n FROM {GAPPED} WHERE sv > p + 1 GROUP BY 1 "
