@@ -86,7 +86,7 @@ def materialize(df: DataFrame, label: str, path: str | None = None, add_row: boo
 
 def numbered(docs: DataFrame, label: str) -> DataFrame:
     """row (a number of its own) and doc (the row as it came), stored: a row's identity where ids are null or repeat."""
-    return materialize(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")), label, add_row=True)
+    return materialize(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")), label, add_row=True, compression="zstd")
 
 
 def drop_path(spark: SparkSession, path: str) -> None:
