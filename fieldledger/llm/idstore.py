@@ -7,13 +7,15 @@ three parts, as Parquet, so that any file system Spark can reach will do:
 * packs: for each document, the chunks that it owns, that is, those of which it is the first holder;
   every unique chunk is stored once;
 * recipes: for each document, the addresses of its chunks in order, its place in the stream and its Merkle root;
-* manifest: for each range of documents, its number of documents and ids, and the Merkle root over theirs.
+* manifest: for each part and each range of RANGE documents in it, its number of documents and ids, and the Merkle root
+  over theirs.
 
 Recipes and packs lie in one table in ascending doc_id order, as separate columns. Reading checks each chunk against its
-address and each document and range against its Merkle root.
+address, each document against its Merkle root, and each range against the manifest; what is missing is an error.
 
 The ids are shuffled once, to be range-partitioned by doc_id; which chunks are held elsewhere too is found from their
-addresses alone. Only documents that borrow chunks are joined with the packs when the store is read.
+addresses alone. Only documents that borrow chunks are joined with the packs when the store is read. A chunk that very
+many documents share is dealt over several tasks in both joins.
 """
 
 from __future__ import annotations
@@ -28,13 +30,15 @@ from pyspark.sql import functions as F
 
 from fieldledger.llm.bpe import encoder
 from fieldledger.llm.common import small_batches, take_turn
-from fieldledger.session import drop_path, fresh_path, materialize, table
+from fieldledger.session import drop_path, fresh_path, materialize, spread_join, table
 
 END_ID = 2
 WINDOW = 16
 #: A cut comes every MEAN ids on average, between LEAST and MOST.
 LEAST, MEAN, MOST = 64, 256, 1024
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
+#: Documents of a part that share a root of the manifest.
+RANGE = 4096
 
 
 def cut_points(ids: np.ndarray) -> np.ndarray:
@@ -96,7 +100,7 @@ def _encoded(path: str, end_id: int):
 
 
 STORE = (
-    "part int, doc_id {kind}, local_start long, n_tokens long, width int, sizes array<int>, addresses binary, "
+    "part int, place long, doc_id {kind}, local_start long, n_tokens long, width int, sizes array<int>, addresses binary, "
     "borrowed array<int>, lent array<int>, root binary, pack binary"
 )
 
@@ -105,9 +109,9 @@ def _packed(batches):
     """Sorted rows of (doc_id, row, kind): a document's borrowed and lent chunks, then its ids. Writes rows of the store."""
     from pyspark import TaskContext
 
-    part, at, notes = TaskContext.get().partitionId(), 0, {}
+    part, at, place, notes = TaskContext.get().partitionId(), 0, 0, {}
     for batch in small_batches(batches):
-        cols: dict[str, list] = {c: [] for c in ("part", "doc_id", "local_start", "n_tokens", "width", "sizes", "addresses", "borrowed", "lent", "root", "pack")}
+        cols: dict[str, list] = {c: [] for c in ("part", "place", "doc_id", "local_start", "n_tokens", "width", "sizes", "addresses", "borrowed", "lent", "root", "pack")}
         for row in batch.to_pylist():
             if row["seqs"] is not None:
                 notes = {"row": row["row"], "borrowed": row["seqs"], "lent": row["lent"]}
@@ -120,11 +124,11 @@ def _packed(batches):
                     kept.append(blob[k * width : (k + n) * width])
                 k += n
             leaves = [addresses[i : i + 16] for i in range(0, len(addresses), 16)]
-            values = (part, row["doc_id"], at, k, width, sizes, addresses, sorted(borrowed), sorted(own.get("lent") or ()), merkle_root(leaves), b"".join(kept))
+            values = (part, place, row["doc_id"], at, k, width, sizes, addresses, sorted(borrowed), sorted(own.get("lent") or ()), merkle_root(leaves), b"".join(kept))
             for column, x in zip(cols.values(), values, strict=True):
                 column.append(x)
-            at += k
-        kinds = (pa.int32(), batch.schema.field("doc_id").type, pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.binary(), pa.binary())
+            at, place = at + k, place + 1
+        kinds = (pa.int32(), pa.int64(), batch.schema.field("doc_id").type, pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.binary(), pa.binary())
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols.values(), kinds, strict=True)], list(cols))
 
 
@@ -142,7 +146,8 @@ def _addresses(df: DataFrame) -> DataFrame:
 def write_store(docs: DataFrame, vocabulary: str, target: str | None = None, end_id: int = END_ID) -> str:
     """Writes the store of all documents and returns its folder. A null id sorts first.
 
-    A null or empty text is the end id alone. Equal rows of one doc_id are kept as rows of their own.
+    docs: doc_id, text; further columns are not looked at. A null or empty text is the end id alone. Rows that repeat a
+    doc_id, null ones too, are documents of their own. An empty table gives an empty store.
     """
     spark, kind = docs.sparkSession, docs.schema["doc_id"].dataType.simpleString()
     target = target or fresh_path(spark, "id-store")
@@ -156,9 +161,12 @@ def write_store(docs: DataFrame, vocabulary: str, target: str | None = None, end
     chunks = _addresses(staged.select("row", "addresses"))
     # the first holder, at its first place there, owns a chunk; a copy inside one document is borrowed too
     held = chunks.groupBy("hi", "lo", "row").agg(F.min("seq").alias("seq"), F.count("*").alias("times"))
-    shared = held.groupBy("hi", "lo").agg(F.min("row").alias("owner"), F.sum("times").alias("holders")).filter("holders > 1").drop("holders")
-    firsts = held.join(shared, ["hi", "lo"]).filter("row = owner").select("hi", "lo", "owner", F.col("seq").alias("first"))
-    uses = chunks.join(materialize(firsts, "shared-chunks"), ["hi", "lo"])
+    shared = held.groupBy("hi", "lo").agg(F.min("row").alias("owner"), F.sum("times").alias("holders")).filter("holders > 1")
+    shared = materialize(shared, "shared-chunks")
+    counts = shared.select("hi", "lo", F.col("holders").alias("uses"))
+    firsts = spread_join(held.drop("times"), shared.select("hi", "lo", "owner"), ["hi", "lo"], "row", counts).filter("row = owner")
+    firsts = materialize(firsts.select("hi", "lo", "owner", F.col("seq").alias("first")), "first-holders")
+    uses = spread_join(chunks, firsts, ["hi", "lo"], "row", counts)
     lends = (F.col("row") == F.col("owner")) & (F.col("seq") == F.col("first"))
     notes = uses.groupBy("row").agg(
         F.collect_list(F.when(~lends, F.col("seq"))).alias("seqs"), F.collect_list(F.when(lends, F.col("seq"))).alias("lent")
@@ -172,15 +180,23 @@ def write_store(docs: DataFrame, vocabulary: str, target: str | None = None, end
     ordered = rows.repartitionByRange("doc_id", "row").sortWithinPartitions("doc_id", "row", "last")
     ordered.drop("last").mapInArrow(_packed, STORE.format(kind=kind)).write.parquet(f"{target}/store", compression="zstd")
     drop_path(spark, staging)
-    store = spark.read.parquet(f"{target}/store")
-    manifest = store.select("part", "local_start", "n_tokens", "root").groupBy("part").agg(
-        F.count("*").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"), F.sort_array(F.collect_list(F.struct("local_start", "root"))).alias("roots")
-    )
-    root = F.udf(lambda roots: merkle_root([bytes(r["root"]) for r in roots]), "binary")
-    manifest.select("part", "n_docs", "n_tokens", root("roots").alias("root")).write.parquet(f"{target}/manifest")
+    _ranges(spark.read.parquet(f"{target}/store")).write.parquet(f"{target}/manifest")
     return target
 
 
+def _range_root(rows: pa.Table) -> pa.Table:
+    rows = rows.sort_by("place")
+    root = merkle_root(rows.column("root").to_pylist())
+    sums = (len(rows), sum(rows.column("n_tokens").to_pylist()))
+    return pa.table({"part": rows.column("part")[:1], "range": rows.column("range")[:1], "n_docs": pa.array([sums[0]], pa.int64()), "n_tokens": pa.array([sums[1]], pa.int64()), "root": pa.array([root], pa.binary())})
+
+
+def _ranges(store: DataFrame) -> DataFrame:
+    """part, range, n_docs, n_tokens, root of each range of documents of a part, from their own roots."""
+    rows = store.select("part", F.floor(F.col("place") / RANGE).alias("range"), "place", "n_tokens", "root")
+    return rows.groupBy("part", "range").applyInArrow(_range_root, "part int, range long, n_docs long, n_tokens long, root binary")
+
+
 def _lend(batches):
     """The chunks that others hold too."""
     for batch in small_batches(batches):
@@ -211,6 +227,8 @@ def _restore(bases: dict[int, int], with_ids: bool):
                 width, parts, k = row["width"], [], 0
                 for i, n in enumerate(row["sizes"]):
                     if i in borrowed:
+                        if got.get(i) is None:
+                            raise ValueError(f"document {row['doc_id']}: chunk {i} is missing, so its chunks do not match its recipe")
                         parts.append(got[i])
                     else:
                         parts.append(row["pack"][k * width : (k + n) * width])
@@ -230,10 +248,16 @@ def _restore(bases: dict[int, int], with_ids: bool):
 
 def read_store(spark: SparkSession, target: str, with_ids: bool = True) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 and ids (little-endian unsigned 32-bit; null if not wanted) of each document, from the files."""
-    store = spark.read.parquet(f"{target}/store")
+    store, manifest = spark.read.parquet(f"{target}/store"), spark.read.parquet(f"{target}/manifest")
     kind = store.schema["doc_id"].dataType.simpleString()
+    held = [F.col(c).alias(f"held_{c}") for c in ("n_docs", "n_tokens", "root")]
+    both = manifest.join(_ranges(store).select("part", "range", *held), ["part", "range"], "full")
+    same = [F.col(c).eqNullSafe(F.col(f"held_{c}")) for c in ("n_docs", "n_tokens", "root")]
+    parts = both.groupBy("part").agg(F.sum("n_tokens").alias("n_tokens"), F.bool_and(same[0] & same[1] & same[2]).alias("same"))
     bases, at = {}, 0
-    for row in spark.read.parquet(f"{target}/manifest").orderBy("part").collect():  # a row a file
+    for row in parts.orderBy("part").collect():  # a row a file
+        if not row["same"]:
+            raise ValueError(f"part {row['part']}: its documents do not match the manifest")
         bases[row["part"]] = at
         at += row["n_tokens"]
     alone = store.filter(F.size("borrowed") == 0).withColumn("chunks", F.lit(None).cast("array<struct<seq:int,chunk:binary>>"))
@@ -242,7 +266,9 @@ def read_store(spark: SparkSession, target: str, with_ids: bool = True) -> DataF
     half = lambda at_: F.conv(F.hex(F.substring("addresses", at_, 8)), 16, -10).cast("long")
     uses = uses.select("row", "seq", half(F.col("seq") * 16 + 1).alias("hi"), half(F.col("seq") * 16 + 9).alias("lo"))
     lent = store.filter(F.size("lent") > 0).mapInArrow(_lend, "hi long, lo long, chunk binary")
-    chunks = uses.join(lent, ["hi", "lo"]).groupBy("row").agg(F.collect_list(F.struct("seq", "chunk")).alias("chunks"))
+    # a chunk that is missing is null, and an error where it is wanted
+    counts = uses.groupBy("hi", "lo").agg(F.count("*").alias("uses"))
+    chunks = spread_join(uses, lent, ["hi", "lo"], "row", counts, "left").groupBy("row").agg(F.collect_list(F.struct("seq", "chunk")).alias("chunks"))
     joined = needy.join(chunks, "row").drop("row").select(*alone.columns)
     out = f"doc_id {kind}, start long, n_tokens long, ids_crc32 long, ids binary"
     restore = _restore(bases, with_ids)

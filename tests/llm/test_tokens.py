@@ -9,10 +9,11 @@ import numpy as np
 import public_tokenizers
 import pyarrow.parquet as pq
 import pytest
-from helpers import make, odd_rows
+from helpers import make, odd_rows, sentence
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from fieldledger import session
 from fieldledger.llm import bpe, idstore, packing, tokencount
 from fieldledger.llm.bpe import Encoder
 from fieldledger.llm.tokencount import Counter as TokenCounter
@@ -141,16 +142,41 @@ def test_chunks_are_content_defined():
     assert len(idstore.cut_points(ids[:0])) == 0 and idstore.cut_points(ids[:3]).tolist() == [3]
 
 
-def test_store_detects_damage(spark, tmp_path):
-    target = idstore.write_store(make(spark, odd_rows()), BYTE)
-    store = spark.read.parquet(f"{target}/store").toPandas()
-    i = store.index[store["doc_id"] == 7][0]
-    store.at[i, "pack"] = bytes([store.at[i, "pack"][0] ^ 1]) + store.at[i, "pack"][1:]
-    schema = spark.read.parquet(f"{target}/store").schema
-    spark.createDataFrame(store.astype(object).where(store.notna(), None).to_dict("records"), schema).write.parquet(str(tmp_path / "store"))
+def damaged(spark, tmp_path, rows, change):
+    """The store of rows with its table changed, and the manifest as it was."""
+    target = idstore.write_store(make(spark, rows), BYTE)
+    df = spark.read.parquet(f"{target}/store")
+    store = change(df.toPandas())
+    spark.createDataFrame(store.astype(object).where(store.notna(), None).to_dict("records"), df.schema).write.parquet(str(tmp_path / "store"))
     spark.read.parquet(f"{target}/manifest").write.parquet(str(tmp_path / "manifest"))
-    with pytest.raises(Exception, match="do not match"):
-        idstore.read_store(spark, str(tmp_path)).collect()
+    return str(tmp_path)
+
+
+def test_store_detects_damage(spark, tmp_path):
+    def flip(store):
+        i = store.index[store["doc_id"] == 7][0]
+        store.at[i, "pack"] = bytes([store.at[i, "pack"][0] ^ 1]) + store.at[i, "pack"][1:]
+        return store
+
+    path = damaged(spark, tmp_path / "a", odd_rows(), flip)
+    with pytest.raises(Exception, match="do not match its recipe"):
+        idstore.read_store(spark, path).collect()
+    path = damaged(spark, tmp_path / "b", odd_rows(), lambda store: store[store["doc_id"] != 8])
+    with pytest.raises(Exception, match="do not match the manifest"):
+        idstore.read_store(spark, path).collect()
+
+
+def test_hot_chunks_are_spread(spark, monkeypatch):
+    """A passage that all documents share, over more rows than a task joins."""
+    monkeypatch.setattr(session, "HOT", 10)
+    monkeypatch.setattr(idstore, "RANGE", 7)
+    rows = [(i, sentence(1, 600) + " " + sentence(i + 10, i)) for i in range(60)]
+    target = idstore.write_store(make(spark, rows), BYTE)
+    got = {r["doc_id"]: r["ids_crc32"] for r in idstore.read_store(spark, target).collect()}
+    library = Tokenizer.from_file(BYTE)
+    assert got == {i: zlib.crc32(np.array([*library.encode(t, add_special_tokens=False).ids, 2], "<u4").tobytes()) for i, t in rows}
+    stored = sum(len(r["pack"]) // 2 for r in spark.read.parquet(f"{target}/store").collect())
+    assert stored < sum(len(library.encode(t).ids) for _, t in rows) / 3
 
 
 def brute_force(lengths, capacity):
