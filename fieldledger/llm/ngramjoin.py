@@ -5,8 +5,9 @@ embedded as a list of minwise hashes, so that the share of equal places estimate
 samples a place of the list and splits the classes by the value there (similar sets share the token at that place with a
 probability equal to their similarity); buckets above the limit are split again on further sampled places, so that a
 path is chosen down to small buckets, whose members are compared by brute force (Christiani and Pagh, "Set similarity
-join"; Christiani, Pagh and Sivertsen). The recursion ends where a bucket is small, or where all its members are near
-enough to its first that they are one group already. Runs repeat until the target recall: a pair at the threshold is met
+join"; Christiani, Pagh and Sivertsen). The recursion ends where a bucket is small, where all its members are near enough
+to its first that they are one group already, and where half of them are: splitting would not part those, so the others
+are compared with all members. Runs repeat until the target recall: a pair at the threshold is met
 by one run with probability of at least P_RUN (0.8 for the first place and 0.96 for each of the few levels that a large
 bucket takes, and a pair may also be joined by way of the bucket's first member), so ceil(log(1 - recall) / log(1 -
 P_RUN)) runs are made. The tests measure the recall against all pairs.
@@ -39,7 +40,7 @@ P_RUN = 0.5
 PLACES = 64
 #: Buckets above this are split again.
 BUCKET = 64
-#: Where a set of like documents is so dense that this many levels have not split it, all pairs of blocks are compared.
+#: What this many levels have not split is compared, too.
 LEVELS = 24
 BLOCK = 512
 #: Members whose lists agree in fewer places than this are not taken further: 4.5 standard errors under the threshold.
@@ -137,13 +138,15 @@ def _merge(labels: np.ndarray, i: int, mates: np.ndarray) -> None:
 
 
 def _bucket_edges(rows: pa.Table) -> pa.Table:
-    """A spanning forest of the members of one bucket (or cell) whose lists agree well enough."""
+    """A spanning forest of the members of one bucket (or cell) whose lists agree well enough; only far ones look for mates, if some are marked."""
     rows = rows.sort_by("rep")
     reps = rows.column("rep").to_numpy()
     lists = np.frombuffer(b"".join(rows.column("list").to_pylist()), "<u4").reshape(len(reps), PLACES)
     labels, least = np.arange(len(reps)), LEAST_SHARE * PLACES
-    for i in range(len(reps) - 1):
-        mates = np.flatnonzero((lists[i + 1 :] == lists[i]).sum(1) >= least) + i + 1
+    some = "far" in rows.column_names
+    for i in np.flatnonzero(rows.column("far").to_numpy(zero_copy_only=False)) if some else range(len(reps) - 1):
+        k = 0 if some else i + 1
+        mates = np.flatnonzero((lists[k:] == lists[i]).sum(1) >= least) + k
         if len(mates):
             _merge(labels, i, mates)
     own = np.flatnonzero(labels != np.arange(len(reps)))
@@ -162,29 +165,52 @@ def candidate_edges(classes: DataFrame, recall: float = RECALL) -> DataFrame:
     open_ = classes.select(
         "rep", "list", F.explode(F.array(*[F.struct(F.lit(r).alias("run"), F.lit((r * 5 + 1) % PLACES).alias("place")) for r in range(runs)])).alias("at")
     ).select("rep", F.xxhash64("at.run", "at.place", F.expr("substring(list, at.place * 4 + 1, 4)")).alias("path"))
-    edges, lists, level = [], classes.select("rep", "list"), 0
+    edges, lists, level, n_classes = [], classes.select("rep", "list"), 0, classes.count()
+
+    def asked(rows: DataFrame, counts: DataFrame, label: str) -> None:
+        """Pairs of members of which one is far from the first; those near it are one group already. rows: path, rep, list, near; counts: members, like."""
+        blocks, far = F.ceil(F.col("members") / BLOCK).cast("int"), F.ceil((F.col("members") - F.col("like")) / BLOCK).cast("int")
+        sized = rows.join(broadcast_if_small(counts.select("path", blocks.alias("blocks"), far.alias("asking")), n_large), "path")
+        at = lambda n: F.pmod(F.xxhash64("rep"), F.col(n).cast("long")).cast("int")
+        upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        askers = sized.filter("NOT near").select("path", at("asking").alias("a"), upto("blocks").alias("b"), "rep", "list", F.lit(True).alias("far"))
+        others = sized.select("path", upto("asking").alias("a"), at("blocks").alias("b"), "rep", "list", F.lit(False).alias("far"))
+        cells = askers.unionByName(others).withColumn("cell", F.struct("path", "a", "b")).select("cell", "rep", "list", "far")
+        edges.append(materialize(cells.groupBy("cell").applyInArrow(_bucket_edges, "a long, b long").filter("a <> b").distinct(), label))
+
+    def compared(rows: DataFrame, counts: DataFrame, label: str) -> None:
+        """All pairs of the members of these buckets, in blocks. rows: path, rep, list."""
+        cells = _dealt(rows, "path", counts, "rep").select("cell", "rep", "list")
+        edges.append(materialize(cells.groupBy("cell").applyInArrow(_bucket_edges, "a long, b long").distinct(), label))
+
     while True:
         counts = open_.groupBy("path").agg(F.count("*").alias("members"), F.min("rep").alias("first")).filter("members > 1")
         counts = materialize(counts, f"buckets-{level}")
         small = counts if level == LEVELS else counts.filter(F.col("members") <= BUCKET)
-        leaf = open_.join(small.select("path"), "path").join(lists, "rep")
-        cells = _dealt(leaf, "path", small, "rep").select("cell", "rep", "list")
-        edges.append(materialize(cells.groupBy("cell").applyInArrow(_bucket_edges, "a long, b long").distinct(), f"edges-{level}"))
+        compared(open_.join(small.select("path"), "path").join(lists, "rep"), small, f"edges-{level}")
         large = counts.filter(F.col("members") > BUCKET)
         n_large = large.count()
         if level == LEVELS or not n_large:
             break
-        # each member against the first of its bucket; buckets that are one group by that are done
+        # each member against the first of its bucket
         firsts = large.select("path", "first").join(lists.select(F.col("rep").alias("first"), F.col("list").alias("first_list")), "first")
         firsts = broadcast_if_small(firsts, n_large)
         held = open_.join(firsts, "path").join(lists, "rep").select("rep", "path", "first", "list", (_agree("list", "first_list") >= LEAST_SHARE * PLACES).alias("near"))
         held = materialize(held, f"large-{level}")
         edges.append(held.filter("near AND rep <> first").select(F.col("first").alias("a"), F.col("rep").alias("b")).distinct())
-        mixed = held.groupBy("path").agg(F.count_if(~F.col("near")).alias("far")).filter("far > 0").select("path")
-        mixed = broadcast_if_small(mixed, n_large)
+        mixed = held.groupBy("path").agg(F.count("*").alias("members"), F.count_if("near").alias("like")).filter("like < members")
+        mixed = materialize(mixed, f"mixed-{level}")
+        # buckets that are dense don't get smaller by splitting: their members are compared now, like those of a group later
+        # and so are those of all others, once that is a thousand comparisons of lists a class, less work than making the lists
+        pairs = mixed.filter("2 * like < members").agg(F.sum(F.col("members").cast("double") ** 2)).first()[0] or 0.0
+        few = pairs <= 16 * BUCKET * n_classes
+        dense, sparse = mixed.filter(F.lit(few) | F.expr("2 * like >= members")), mixed.filter(~F.lit(few) & F.expr("2 * like < members"))
+        asked(held.select("path", "rep", "list", "near"), dense, f"dense-{level}")
+        if few:
+            break
         # two sampled places a bucket: a pair at the threshold shares one of them with probability over 0.95
         at = F.array(*[F.pmod(F.xxhash64("path", F.lit(k), F.lit(level)), F.lit(PLACES)).cast("int") for k in range(2)])
-        further = held.join(mixed, "path", "left_semi").select("rep", "path", "list", F.explode(F.array_distinct(at)).alias("place"))
+        further = held.join(broadcast_if_small(sparse.select("path"), n_large), "path", "left_semi").select("rep", "path", "list", F.explode(F.array_distinct(at)).alias("place"))
         further = further.select("rep", F.xxhash64("path", "place", F.expr("substring(list, place * 4 + 1, 4)")).alias("path"))
         open_, level = materialize(further, f"paths-{level}"), level + 1
     return functools.reduce(DataFrame.unionByName, edges).distinct()
