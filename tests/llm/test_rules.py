@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from helpers import make, odd_rows, sentence
 from pyspark.sql import functions as F
@@ -361,6 +362,32 @@ def test_bounds_prune_and_lose_nothing():
     assert searcher.scored < 0.8 * 2000 * len(terms)
 
 
+def test_shards_are_small_and_come_back_whole():
+    """A posting takes little more than a place and a count when stored, and few bytes of memory when it is searched."""
+    docs = [(i, sentence(i, 60 + i % 50) + " and" * (i // 4)) for i in range(1500)]
+    shard = topk.Shard.build([i for i, _ in docs], [t for _, t in docs])
+    assert shard.tfs.max() > 255
+    packed = shard.pack()
+    words = len("\n".join(shard.terms.to_pylist() if isinstance(shard.terms, pa.Array) else shard.terms))
+    assert sum(len(x) for x in packed) - words < 5 * len(shard.docs) + 12 * len(docs) + 8 * len(shard.terms)
+    kinds = [pa.string() if isinstance(x, str) else pa.binary() for x in packed]
+    again = topk.Shard.unpack(pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(packed, kinds, strict=True)], ["ids", "lengths", "terms", "dfs", "docs", "tfs", "more"]), 0)
+    for name in ("ids", "lengths", "starts", "docs", "tfs"):
+        assert (getattr(again, name) == getattr(shard, name)).all()
+    assert again.terms.to_pylist() == shard.terms.to_pylist()
+    searcher = topk.Searcher(again, float(shard.lengths.mean()))
+    assert searcher.places(pa.array(["and", "nowhere"])).tolist() == [searcher.where["and"], -1]
+
+
+def test_rounds_take_shards_of_many_tasks(spark):
+    """The shards of a round lie in as many files as there are, and the few that are left join the last round."""
+    index = spark.createDataFrame([((part << 20) + made,) for part in range(8) for made in range(3)], "shard long")
+    rounds = topk._rounds(index)
+    assert [len(r) for r in rounds] == [1, 7, 16] and {s >> 20 for s in rounds[1]} == set(range(1, 8))
+    for own in rounds:
+        assert sorted(r["shard"] for r in topk._some(index, own).collect()) == sorted(own)
+
+
 def test_language_lengths_are_exact():
     """Code lengths from the table equal those of a plain walk down the context trees; each state's shares sum to one."""
     grams = Counter()
