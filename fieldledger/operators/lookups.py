@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+import operator
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,47 +24,80 @@ def with_prefix_count(df: DataFrame, code: str, prefixes: DataFrame) -> DataFram
     return keyed.join(F.broadcast(prefixes), "prefix", "left")
 
 
-def indel_ratio(a: Column, b: Column) -> Column:
-    """100 * 2 * LCS / (|a| + |b|) for short strings: the normalised insert-delete similarity."""
+#: Bits of a known prefix's lane in a long, one of them for the carry; lanes of a long.
+LANE = 1 + max(map(len, fixed.PREFIX_COUNTS))
+LANES = 62 // LANE
+#: Known prefixes from the least to the most frequent, of equals the first one last.
+BY_COUNT = [p for _, _, p in sorted((n, -i, p) for i, (p, n) in enumerate(fixed.PREFIX_COUNTS.items()))]
+RANKS = len(BY_COUNT)
+
+
+def _lanes(bits_of) -> list[int]:
+    """Longs with bits_of(prefix) in each known prefix's lane."""
+    out = [0] * -(-len(fixed.PREFIX_COUNTS) // LANES)
+    for i, p in enumerate(fixed.PREFIX_COUNTS):
+        out[i // LANES] |= bits_of(p) << LANE * (i % LANES)
+    return out
+
+
+def _unmatched(key: Column) -> Column:
+    """Longs in whose lanes as many bits are zero as a known prefix's longest common subsequence with key has letters.
+
+    All prefixes at a time, a letter of key a step (bit-parallel, after Hyyro).
+    """
+    letters = sorted(set("".join(fixed.PREFIX_COUNTS)))
+    at = {c: F.array(*[F.lit(m).cast("long") for m in _lanes(lambda p, c=c: sum(1 << j for j, x in enumerate(p) if x == c))]) for c in letters}
+    known = F.create_map(*[x for c in letters for x in (F.lit(c), at[c])])
+    full = F.lit(sum(((1 << LANE - 1) - 1) << LANE * i for i in range(LANES))).cast("long")
+
+    def meet(v: Column, m: Column) -> Column:
+        both = v.bitwiseAND(m)
+        return (v + both).bitwiseOR(v - both).bitwiseAND(full)
+
+    step = lambda acc, c: once(F.try_element_at(known, c), lambda m: F.when(m.isNull(), acc).otherwise(F.zip_with(acc, m, meet)))
+    return F.aggregate(F.split(key, ""), F.array_repeat(full, -(-len(fixed.PREFIX_COUNTS) // LANES)), step)
 
-    def lcs(x: Column, y: Column) -> Column:
-        # one row of the table for each character of x, built from the row before it
-        def step(row: Column, c: Column) -> Column:
-            def cell(acc: Column, j: Column) -> Column:
-                match = F.get(row, j - 1) + 1
-                best = F.when(F.get(y, j - 1) == c, match).otherwise(F.greatest(F.element_at(acc, -1), F.get(row, j)))
-                return F.concat(acc, F.array(best))
 
-            return F.aggregate(F.sequence(F.lit(1), F.size(y)), F.array(F.lit(0)), cell)
+def _ranked(df: DataFrame, prefix: str) -> tuple[DataFrame, Column, list[Column]]:
+    """df with _unmatched, the key, and for each known prefix a long that is larger the better it is; _match() reads it.
 
-        return F.element_at(F.aggregate(x, F.array_repeat(F.lit(0), F.size(y) + 1), step), -1)
+    Scores are compared as whole numbers, common letters times the sums of lengths of all others, then places by count.
+    """
+    key = F.upper(F.trim(F.coalesce(F.col(prefix), F.lit(""))))
+    sizes = sorted(set(map(len, fixed.PREFIX_COUNTS)))
+    place = {p: i for i, p in enumerate(BY_COUNT)}
+    ranks = []
+    for i, p in enumerate(fixed.PREFIX_COUNTS):
+        own = F.shiftright(F.get("_unmatched", F.lit(i // LANES)), LANE * (i % LANES)).bitwiseAND(F.lit((1 << (LANE - 1)) - 1).cast("long"))
+        same = (LANE - 1 - F.bit_count(own)).cast("long")
+        scale = functools.reduce(operator.mul, [F.col("_size") + n for n in sizes if n != len(p)], F.lit(1).cast("long"))
+        ranks.append(same * scale * (RANKS * LANE) + place[p] * LANE + same)
+    return df.withColumns({"_unmatched": _unmatched(key), "_size": F.length(key).cast("long")}), key, ranks
 
-    chars = lambda s: F.filter(F.split(s, ""), lambda c: c != "")
-    total = F.length(a) + F.length(b)
-    same = F.when((F.length(a) == 0) | (F.length(b) == 0), 0).otherwise(once(F.struct(chars(a).alias("x"), chars(b).alias("y")), lambda p: lcs(p["x"], p["y"])))
-    return F.when(total == 0, 100.0).otherwise(200.0 * same / total)
+
+def _match(rank: Column) -> Column:
+    """struct<prefix, score> of a number of _ranked(); the score is the indel ratio."""
+    found = F.get(F.array(*map(F.lit, BY_COUNT)), ((rank - rank % LANE) % (RANKS * LANE) / LANE).cast("int"))
+    return F.struct(found.alias("prefix"), (200.0 * (rank % LANE) / (F.col("_size") + F.length(found))).alias("score"))
 
 
 def fuzzy_prefixes(df: DataFrame, prefix: str, threshold: float = 85.0, most: int = 5) -> DataFrame:
     """Adds matches array<struct<prefix, score>>: the known prefixes most like it, best first, then the more frequent."""
-    known = F.array(*[F.struct(F.lit(p).alias("p"), F.lit(n).alias("n"), F.lit(i).alias("o")) for i, (p, n) in enumerate(fixed.PREFIX_COUNTS.items())])
-    key = F.upper(F.trim(F.coalesce(F.col(prefix), F.lit(""))))
-    scored = F.transform(known, lambda k: F.struct((-indel_ratio(key, k["p"])).alias("score"), (-k["n"]).alias("n"), k["o"].alias("o"), k["p"].alias("p")))
-    best = F.slice(F.sort_array(F.filter(scored, lambda s: s["score"] <= -threshold)), 1, most)
-    found = F.transform(best, lambda s: F.struct(s["p"].alias("prefix"), (-s["score"]).alias("score")))
-    return df.withColumn("matches", F.when(key != "", found).otherwise(F.array().cast("array<struct<prefix:string,score:double>>")))
+    df, key, ranks = _ranked(df, prefix)
+    found = F.transform(F.slice(F.sort_array(F.array(*ranks), False), 1, most), _match)
+    found = F.when(key != "", F.filter(found, lambda m: m["score"] >= threshold)).otherwise(F.array().cast("array<struct<prefix:string,score:double>>"))
+    return df.withColumn("matches", found).drop("_unmatched", "_size")
 
 
 def fuzzy_prefix(df: DataFrame, prefix: str, threshold: float = 85.0) -> DataFrame:
     """Adds match struct<prefix, score>: the known prefix most like it, the more frequent of equals; null under the threshold.
 
-    The 65 known prefixes are an array in the plan; no join is needed.
+    The 65 known prefixes are in the plan, as lanes of a few longs; no join is needed.
     """
-    known = F.array(*[F.struct(F.lit(p).alias("p"), F.lit(n).alias("n"), F.lit(-i).alias("o")) for i, (p, n) in enumerate(fixed.PREFIX_COUNTS.items())])
-    key = F.upper(F.trim(F.coalesce(F.col(prefix), F.lit(""))))
-    scored = F.transform(known, lambda k: F.struct(indel_ratio(key, k["p"]).alias("score"), k["n"].alias("n"), k["o"].alias("o"), k["p"].alias("p")))
-    best = F.array_max(F.filter(scored, lambda s: s["score"] >= threshold))
-    return df.withColumn("match", F.when(key != "", F.when(best.isNotNull(), F.struct(best["p"].alias("prefix"), best["score"].alias("score")))))
+    df, key, ranks = _ranked(df, prefix)
+    found = df.withColumn("_best", F.greatest(*ranks)).withColumn("_best", _match(F.col("_best")))
+    best = F.when((key != "") & (F.col("_best.score") >= threshold), F.col("_best"))
+    return found.withColumn("match", best).drop("_unmatched", "_size", "_best")
 
 
 def interval_join(rows: DataFrame, key: str, spans: DataFrame) -> DataFrame:

@@ -1,6 +1,8 @@
 """Whole runs, review output, configured rules, and profiles, on small cases worked out by hand."""
 
+import itertools
 import json
+import random
 import zipfile
 
 import pytest
@@ -177,6 +179,31 @@ def test_review_helpers(spark):
     assert [m["prefix"] for m in best[0]["matches"]] == ["SX", "SFL", "SFE", "SFC", "SFY"] and best[1]["matches"] == []
 
 
+def test_fuzzy_prefixes_against_the_plain_ratio(spark):
+    """All prefixes at a time in a few bits each: the same scores as one table of subsequences for each."""
+    rng = random.Random(4)
+    keys = ["", " sco ", "S", "SCOSCO", "ésx😀", "QQQQQ", "x" * 70 + "SCO", "OCS", None, *["".join(rng.choice("SCOFEXLATPYZ1 ") for _ in range(rng.randint(1, 7))) for _ in range(60)]]
+    rows = spark.createDataFrame([(k,) for k in keys], "p string")
+
+    def ratio(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            row = [0, *itertools.accumulate(range(1, len(b) + 1), lambda acc, j: row[j - 1] + 1 if b[j - 1] == x else max(acc, row[j]), initial=0)][1:]
+        return 200.0 * row[-1] / (len(a) + len(b))
+
+    for r in lookups.fuzzy_prefix(lookups.fuzzy_prefixes(rows, "p", 20.0, 9), "p", 20.0).collect():
+        key = (r["p"] or "").strip(" ").upper()
+        known = sorted((-ratio(key, p), -n, i, p) for i, (p, n) in enumerate(fixed.PREFIX_COUNTS.items())) if key else []
+        want = [(p, -s) for s, _, _, p in known if -s >= 20.0][:9]
+        assert [tuple(m) for m in r["matches"]] == want, r["p"]
+        assert (tuple(r["match"]) if r["match"] else None) == (want[0] if want else None)
+
+
+def test_fuzzy_prefix_does_not_walk_each_prefix(spark):
+    plan = lookups.fuzzy_prefix(spark.createDataFrame([("SFX",)], "p string"), "p")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("aggregate(") == 1
+
+
 def test_engines_by_name():
     assert vision.build("transcript").recognise(b" KE-12 ", "survey").text == "12"
     assert vision.build("transcript").recognise(b"sft 1-2", "meter").text == "SFT12"
