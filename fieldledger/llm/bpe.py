@@ -40,6 +40,11 @@ MEMO = 150_000
 LONGEST = 256
 #: Characters that are split and merged at a time.
 SLICE = 1 << 21
+#: Words that are remembered, of so many bytes and ids at most, per worker.
+PLACES, SHORT, FEW = 1 << 19, 16, 8
+#: Moves that a pair may cause in the table of pairs; multipliers of its two places there.
+MOVES = 64
+HASHES = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], np.uint64)
 #: What runs of characters are: white space, letters, digits, others, and the end of a text.
 WHITE, LETTER, DIGIT, OTHER, END = range(5)
 # What follows an apostrophe in a contraction.
@@ -126,11 +131,12 @@ class Batched:
     def __init__(self, merges: Merges):
         ids = merges.vocab
         pairs = sorted((ids[a] << 32 | ids[b], rank, ids[a + b]) for (a, b), rank in merges.ranks.items())
-        self.keys = np.array([k for k, _, _ in pairs], np.int64)
-        self.rank = np.array([r for _, r, _ in pairs], np.int32)
+        keys = np.array([k for k, _, _ in pairs], np.int64)
+        rank = np.array([r for _, r, _ in pairs], np.int32)
         self.made = np.zeros(len(pairs), np.int32)
-        self.made[self.rank] = [m for _, _, m in pairs]
+        self.made[rank] = [m for _, _, m in pairs]
         self.none = np.int32(len(pairs))
+        self._place(keys, rank)
         self.inside = np.array([ids[c] for c in merges.chars], np.int32)
         self.last = np.array([ids[c + merges.end] for c in merges.chars], np.int32)
         byte = np.arange(256)
@@ -138,10 +144,44 @@ class Batched:
         self.end_pairs = self.ranks(self.inside[byte][:, None], self.last[byte][None, :]).ravel()
         self.dtype = np.dtype("<u2") if max(ids.values()) < 65536 else np.dtype("<u4")
 
+    def _place(self, keys: np.ndarray, rank: np.ndarray) -> None:
+        """A hash table with two places for each pair; what finds both taken moves another on, or else stays in sorted arrays."""
+        self.shift = np.uint64(64 - max(8, 4 * len(keys)).bit_length())
+        size = 1 << (64 - int(self.shift))
+        self.slot_key, self.slot_rank = np.full(size, -1, np.int64), np.full(size, self.none, np.int32)
+        rest = np.arange(len(keys))
+        for probe in (0, 1):
+            slot, one = np.unique(self._slot(keys[rest], probe), return_index=True)
+            one, slot = one[self.slot_key[slot] < 0], slot[self.slot_key[slot] < 0]
+            self.slot_key[slot], self.slot_rank[slot] = keys[rest[one]], rank[rest[one]]
+            rest = np.delete(rest, one)
+        left = []
+        for key, own in zip(keys[rest].tolist(), rank[rest].tolist(), strict=True):
+            at = -1
+            for _ in range(MOVES):
+                one, other = (int(self._slot(np.array([key]), probe)[0]) for probe in (0, 1))
+                at = other if at == one else one
+                self.slot_key[at], key = key, int(self.slot_key[at])
+                self.slot_rank[at], own = own, int(self.slot_rank[at])
+                if key < 0:
+                    break
+            else:
+                left.append((key, own))
+        left.sort()
+        self.keys, self.rank = np.array([k for k, _ in left], np.int64), np.array([r for _, r in left], np.int32)
+
+    def _slot(self, key: np.ndarray, probe: int) -> np.ndarray:
+        return ((key.view(np.uint64) * HASHES[probe]) >> self.shift).view(np.int64)
+
     def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         key = left.astype(np.int64) << 32 | right
-        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        return np.where(self.keys[at] == key, self.rank[at], self.none)
+        one, other = self._slot(key, 0), self._slot(key, 1)
+        slot = np.where(self.slot_key[one] == key, one, other)
+        out = np.where(self.slot_key[slot] == key, self.slot_rank[slot], self.none)
+        if len(self.keys):
+            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            out = np.where(self.keys[at] == key, self.rank[at], out)
+        return out
 
     def encode(self, raw: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Symbols of the words at starts of the bytes raw: all in one array, and where each word's begin and how many they are."""
@@ -192,6 +232,40 @@ class Batched:
             r[k, j[k]] = self.ranks(s[k, j[k]], s[k, j[k] + 1])
 
 
+class Recent:
+    """Short words and their ids, one at each place of a table: a later word takes an earlier one's place."""
+
+    def __init__(self, dtype: np.dtype):
+        self.hashed, self.sizes, self.many = np.zeros(PLACES, np.uint64), np.zeros(PLACES, np.uint8), np.zeros(PLACES, np.uint8)
+        self.words, self.ids = np.zeros((PLACES, SHORT // 8), np.uint64), np.zeros((PLACES, FEW), dtype)
+
+    @staticmethod
+    def _slot(hashed: np.ndarray) -> np.ndarray:
+        return ((hashed * HASHES[0]) >> np.uint64(65 - PLACES.bit_length())).view(np.int64)
+
+    @staticmethod
+    def _bytes(raw: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        inside = np.arange(SHORT)
+        out = raw[np.minimum(starts[:, None] + inside, len(raw) - 1)]
+        out *= inside < sizes[:, None]
+        return out.view(np.uint64)
+
+    def find(self, raw: np.ndarray, starts: np.ndarray, sizes: np.ndarray, hashed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the words are here, by their bytes, and where."""
+        slot = self._slot(hashed)
+        hit = np.flatnonzero((self.hashed[slot] == hashed) & (self.sizes[slot] == sizes))
+        hit = hit[(self._bytes(raw, starts[hit], sizes[hit]) == self.words[slot[hit]]).all(1)]
+        return hit, slot[hit]
+
+    def keep(self, raw: np.ndarray, starts: np.ndarray, sizes: np.ndarray, hashed: np.ndarray, flat: np.ndarray, first: np.ndarray, many: np.ndarray) -> None:
+        own = np.flatnonzero((sizes <= SHORT) & (many <= FEW))
+        slot, one = np.unique(self._slot(hashed[own]), return_index=True)
+        own = own[one]
+        self.hashed[slot], self.sizes[slot], self.many[slot] = hashed[own], sizes[own], many[own]
+        self.words[slot] = self._bytes(raw, starts[own], sizes[own])
+        self.ids[slot] = flat[np.minimum(first[own][:, None] + np.arange(FEW), max(len(flat) - 1, 0))] if len(flat) else 0
+
+
 class Powers:
     """An odd number's powers modulo 2^64: the first and, of any places, the inverses; from two tables."""
 
@@ -224,7 +298,7 @@ class Encoder:
     """Whole texts to ids, equal to the library's encode(add_special_tokens=False).
 
     Texts of the plain set are cut into words as arrays of character classes; each distinct word of a slice is merged
-    once and the ids are gathered word by word. Nothing is kept between slices. Texts with other characters, and all
+    once and the ids are gathered word by word. Short words of earlier slices are remembered. Texts with other characters, and all
     texts where the file's normalizer or pattern is none of the two known ones, go to the library.
     """
 
@@ -238,6 +312,7 @@ class Encoder:
         self.lower, self.chars = merges.lower, merges.chars
         self.batched = Batched(merges) if self.known else None
         self.dtype = self.batched.dtype if self.known else np.dtype("<u4")
+        self.recent = Recent(self.dtype)
         table = np.full(0x2100, OTHER, np.uint8)
         table[[ord(c) for c in SPACES]] = WHITE
         table[[i for i in range(len(table)) if LETTERS_RE.match(chr(i))]] = LETTER
@@ -311,15 +386,27 @@ class Encoder:
             place = np.concatenate([[0], np.cumsum(1 + (char >= 0x80) + (char >= 0x800))])
             at, end = place[at], place[end]
         sizes = end - at
-        inverse, one = self._distinct(raw, at, sizes)
-        flat, first, many = self.batched.encode(raw, at[one], sizes[one])
-        flat, first, many = self._long(raw, at[one], sizes[one], flat, first, many)
+        inverse, one, hashed = self._distinct(raw, at, sizes)
+        flat, first, many = self._kinds(raw, at[one], sizes[one], hashed)
         n = many[inverse]
         upto = np.concatenate([[0], np.cumsum(n)])
         ids = flat[np.repeat(first[inverse] - upto[:-1], n) + np.arange(upto[-1])]
         edges = upto[np.searchsorted(text, np.arange(len(texts) + 1))]
         return [ids[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)]
 
+    def _kinds(self, raw, at, sizes, hashed):
+        """As Batched.encode, of words that differ."""
+        hit, slot = self.recent.find(raw, at, sizes, hashed)
+        known, ids = self.recent.many[slot], self.recent.ids[slot].ravel()  # before others take their places
+        rest = np.delete(np.arange(len(at)), hit)
+        own = raw, at[rest], sizes[rest]
+        flat, *found = self._long(*own, *self.batched.encode(*own))
+        self.recent.keep(*own, hashed[rest], flat, *found)
+        first, many = np.empty(len(at), np.int64), np.empty(len(at), np.int64)
+        first[rest], many[rest] = found
+        first[hit], many[hit] = len(flat) + FEW * np.arange(len(hit)), known
+        return np.concatenate([flat, ids]), first, many
+
     def _long(self, raw, at, sizes, flat, first, many):
         for i in np.flatnonzero(sizes > LONGEST):
             symbols = "".join([self.chars[b] for b in raw[at[i] : at[i] + sizes[i]].tolist()])
@@ -329,13 +416,13 @@ class Encoder:
         return flat, first, many
 
     @staticmethod
-    def _distinct(raw: np.ndarray, at: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """For each word the number of its kind, and for each kind one word. Kinds are found by hashes and then compared."""
+    def _distinct(raw: np.ndarray, at: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each word the number of its kind, and for each kind one word and its hash. Kinds are found by hashes and then compared."""
         total = np.zeros(len(raw) + 1, np.uint64)
         np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * POWERS.first(len(raw)), out=total[1:])
         hashed = (total[at + sizes] - total[at]) * POWERS.inverse(at, len(raw) + 1)
         hashed ^= hashed >> np.uint64(29)
-        _, one, inverse = np.unique(hashed, return_index=True, return_inverse=True)
+        kinds, one, inverse = np.unique(hashed, return_index=True, return_inverse=True)
         n = np.concatenate([[0], np.cumsum(sizes)])
         if same := bool((sizes[one][inverse] == sizes).all()):
             inside = np.arange(n[-1], dtype=np.int32)
@@ -344,7 +431,8 @@ class Encoder:
             words: dict[bytes, int] = {}
             inverse = np.array([words.setdefault(raw[a : a + k].tobytes(), len(words)) for a, k in zip(at, sizes, strict=True)], np.int64)
             _, one = np.unique(inverse, return_index=True)
-        return inverse, one
+            kinds = hashed[one]
+        return inverse, one, kinds
 
 
 def cut_at_white(text: str) -> list[str]:

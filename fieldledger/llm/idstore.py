@@ -20,6 +20,7 @@ many documents share is dealt over several tasks in both joins.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import zlib
 
@@ -52,11 +53,11 @@ def cut_points(ids: np.ndarray) -> np.ndarray:
     rolled = total.copy()
     rolled[WINDOW:] -= total[:-WINDOW]
     rolled *= MULTIPLIER
-    wanted = np.flatnonzero((rolled >> np.uint64(40)) % np.uint64(MEAN - LEAST) == 0) + 1
+    wanted = (np.flatnonzero((rolled >> np.uint64(40)) % np.uint64(MEAN - LEAST) == 0) + 1).tolist()
     ends, at = [], 0
     while n - at > LEAST:
-        k = np.searchsorted(wanted, at + LEAST)
-        to = int(wanted[k]) if k < len(wanted) else n
+        k = bisect.bisect_left(wanted, at + LEAST)
+        to = wanted[k] if k < len(wanted) else n
         at = min(to, at + MOST, n)
         ends.append(at)
     if at < n:

@@ -53,6 +53,31 @@ def test_words_of_one_hash_are_told_apart(monkeypatch):
     assert e.encode("one two, two three").tolist() == library.encode("one two, two three", add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("path", [BYTE, WORD])
+def test_words_are_merged_once_a_worker(path, monkeypatch):
+    """A second slice merges new words alone, and a table with few places forgets words without mistaking them."""
+    e, library, text = Encoder(path), Tokenizer.from_file(path), sentence(3, 300)
+    want = library.encode(text, add_special_tokens=False).ids
+    assert e.encode(text).tolist() == want
+    merged, encode = [], bpe.Batched.encode
+    monkeypatch.setattr(bpe.Batched, "encode", lambda self, raw, starts, sizes: merged.append(len(starts)) or encode(self, raw, starts, sizes))
+    assert e.encode(text).tolist() == want and merged == [0]
+    monkeypatch.setattr(bpe, "PLACES", 8)
+    e = Encoder(path)
+    for text in odd_texts():
+        assert e.encode(text).tolist() == library.encode(text, add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("path", [BYTE, WORD])
+def test_table_of_pairs(path):
+    merges = bpe.Merges(path)
+    b, ids, pairs = bpe.Batched(merges), merges.vocab, list(merges.ranks)
+    left, right = (np.array([ids[p[k]] for p in pairs], np.int32) for k in (0, 1))
+    assert b.ranks(left, right).tolist() == list(merges.ranks.values()) and len(b.keys) == 0
+    other = [merges.ranks.get((p[0], q[1]), b.none) for p, q in zip(pairs, pairs[1:], strict=False)]
+    assert b.ranks(left[:-1], right[1:]).tolist() == other
+
+
 def test_unknown_forms_go_to_the_library(tmp_path):
     spec = json.load(open(BYTE, encoding="utf-8"))
     spec["normalizer"] = {"type": "Lowercase"}
