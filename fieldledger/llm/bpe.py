@@ -45,6 +45,8 @@ PLACES, SHORT, FEW = 1 << 19, 16, 8
 #: Moves that a pair may cause in the table of pairs; multipliers of its two places there.
 MOVES = 64
 HASHES = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], np.uint64)
+#: Of eight bytes as a little-endian integer, the first so many.
+MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 #: What runs of characters are: white space, letters, digits, others, and the end of a text.
 WHITE, LETTER, DIGIT, OTHER, END = range(5)
 # What follows an apostrophe in a contraction.
@@ -236,33 +238,36 @@ class Recent:
     """Short words and their ids, one at each place of a table: a later word takes an earlier one's place."""
 
     def __init__(self, dtype: np.dtype):
-        self.hashed, self.sizes, self.many = np.zeros(PLACES, np.uint64), np.zeros(PLACES, np.uint8), np.zeros(PLACES, np.uint8)
+        self.many = np.zeros(PLACES, np.uint8)
         self.words, self.ids = np.zeros((PLACES, SHORT // 8), np.uint64), np.zeros((PLACES, FEW), dtype)
 
     @staticmethod
-    def _slot(hashed: np.ndarray) -> np.ndarray:
+    def _slot(words: np.ndarray) -> np.ndarray:
+        hashed = words[:, 0] * HASHES[0]
+        hashed ^= words[:, 1] * HASHES[1]
+        hashed ^= hashed >> np.uint64(32)
         return ((hashed * HASHES[0]) >> np.uint64(65 - PLACES.bit_length())).view(np.int64)
 
     @staticmethod
-    def _bytes(raw: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        inside = np.arange(SHORT)
-        out = raw[np.minimum(starts[:, None] + inside, len(raw) - 1)]
-        out *= inside < sizes[:, None]
-        return out.view(np.uint64)
-
-    def find(self, raw: np.ndarray, starts: np.ndarray, sizes: np.ndarray, hashed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Which of the words are here, by their bytes, and where."""
-        slot = self._slot(hashed)
-        hit = np.flatnonzero((self.hashed[slot] == hashed) & (self.sizes[slot] == sizes))
-        hit = hit[(self._bytes(raw, starts[hit], sizes[hit]) == self.words[slot[hit]]).all(1)]
-        return hit, slot[hit]
-
-    def keep(self, raw: np.ndarray, starts: np.ndarray, sizes: np.ndarray, hashed: np.ndarray, flat: np.ndarray, first: np.ndarray, many: np.ndarray) -> None:
+    def bytes(raw: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """The words' first SHORT bytes, zeros behind their ends; raw goes on for SHORT bytes behind the last start."""
+        out = np.empty((len(starts), SHORT // 8), np.uint64)
+        for k in range(SHORT // 8):
+            eight = np.ndarray(len(raw) - 8 * k - 7, "<u8", raw, 8 * k, (1,))
+            np.bitwise_and(eight[starts], MASKS[np.clip(sizes - 8 * k, 0, 8)], out=out[:, k])
+        return out
+
+    def find(self, words: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Whether each of the words is here, by all its bytes, and its place."""
+        slot = self._slot(words)
+        there = self.words[slot]
+        return (there[:, 0] == words[:, 0]) & (there[:, 1] == words[:, 1]) & (sizes <= SHORT), slot
+
+    def keep(self, words: np.ndarray, sizes: np.ndarray, flat: np.ndarray, first: np.ndarray, many: np.ndarray) -> None:
         own = np.flatnonzero((sizes <= SHORT) & (many <= FEW))
-        slot, one = np.unique(self._slot(hashed[own]), return_index=True)
+        slot, one = np.unique(self._slot(words[own]), return_index=True)
         own = own[one]
-        self.hashed[slot], self.sizes[slot], self.many[slot] = hashed[own], sizes[own], many[own]
-        self.words[slot] = self._bytes(raw, starts[own], sizes[own])
+        self.words[slot], self.many[slot] = words[own], many[own]
         self.ids[slot] = flat[np.minimum(first[own][:, None] + np.arange(FEW), max(len(flat) - 1, 0))] if len(flat) else 0
 
 
@@ -329,13 +334,16 @@ class Encoder:
     def encode_many(self, texts: list) -> list[np.ndarray]:
         """ids of each text; a null is empty."""
         parts: list[list[np.ndarray]] = [[] for _ in texts]
-        held, size = [], 0
+        # texts of one byte a character go without others
+        waiting, sizes = ([], []), [0, 0]
 
-        def settle() -> None:
+        def settle(wide: int) -> None:
+            held = waiting[wide]
             if held:
                 for (i, _), ids in zip(held, self._plain([t for _, t in held]), strict=True):
                     parts[i].append(ids)
                 held.clear()
+            sizes[wide] = 0
 
         for i, text in enumerate(texts):
             if not text:
@@ -344,12 +352,14 @@ class Encoder:
                 parts[i].append(self._whole(text))
                 continue
             for part in cut_at_white(text):
-                held.append((i, part.lower() if self.lower else part))
-                size += len(part)
-                if size >= SLICE:
-                    settle()
-                    size = 0
-        settle()
+                part = part.lower() if self.lower else part
+                wide = int(not part.isascii())
+                waiting[wide].append((i, part))
+                sizes[wide] += len(part)
+                if sizes[wide] >= SLICE:
+                    settle(wide)
+        settle(0)
+        settle(1)
         return [p[0] if len(p) == 1 else np.concatenate(p) if p else np.zeros(0, self.dtype) for p in parts]
 
     def _starts(self, char: np.ndarray, kind: np.ndarray) -> np.ndarray:
@@ -373,39 +383,50 @@ class Encoder:
 
     def _plain(self, texts: list[str]) -> list[np.ndarray]:
         joined = "\0".join(texts) + "\0"
-        char = np.frombuffer(joined.encode("utf-32-le"), "<u4")
+        coded = joined.encode()
+        raw = np.frombuffer(coded + bytes(SHORT), np.uint8)
+        char = raw[: len(coded)] if len(coded) == len(joined) else np.frombuffer(joined.encode("utf-32-le"), "<u4")
         kind = self.table[char]
         at = np.flatnonzero(self._starts(char, kind))
         end = np.append(at[1:], len(char))
-        ends = kind[at] == END
-        text = np.cumsum(ends) - ends
-        wanted = ~ends & (kind[at] != WHITE) if self.lower else ~ends
-        at, end, text = at[wanted], end[wanted], text[wanted]
-        raw = np.frombuffer(joined.encode(), np.uint8)
-        if len(raw) != len(char):  # places of characters to places of bytes
+        own = kind[at]
+        wanted = (own != END) & (own != WHITE) if self.lower else own != END
+        upto = np.cumsum(wanted)[np.flatnonzero(own == END)]  # words up to the end of each text
+        at, end = at[wanted], end[wanted]
+        if len(coded) != len(char):  # places of characters to places of bytes
             place = np.concatenate([[0], np.cumsum(1 + (char >= 0x80) + (char >= 0x800))])
             at, end = place[at], place[end]
-        sizes = end - at
-        inverse, one, hashed = self._distinct(raw, at, sizes)
-        flat, first, many = self._kinds(raw, at[one], sizes[one], hashed)
-        n = many[inverse]
-        upto = np.concatenate([[0], np.cumsum(n)])
-        ids = flat[np.repeat(first[inverse] - upto[:-1], n) + np.arange(upto[-1])]
-        edges = upto[np.searchsorted(text, np.arange(len(texts) + 1))]
-        return [ids[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)]
-
-    def _kinds(self, raw, at, sizes, hashed):
-        """As Batched.encode, of words that differ."""
-        hit, slot = self.recent.find(raw, at, sizes, hashed)
-        known, ids = self.recent.many[slot], self.recent.ids[slot].ravel()  # before others take their places
-        rest = np.delete(np.arange(len(at)), hit)
-        own = raw, at[rest], sizes[rest]
-        flat, *found = self._long(*own, *self.batched.encode(*own))
-        self.recent.keep(*own, hashed[rest], flat, *found)
-        first, many = np.empty(len(at), np.int64), np.empty(len(at), np.int64)
-        first[rest], many[rest] = found
-        first[hit], many[hit] = len(flat) + FEW * np.arange(len(hit)), known
-        return np.concatenate([flat, ids]), first, many
+        ids, edges = self._ids(raw, at, end - at)
+        edges = edges[np.concatenate([[0], upto])]
+        return [ids[a:b] for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
+
+    def _ids(self, raw: np.ndarray, at: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """ids of all words, and where each word's begin; words that are not remembered are merged once and remembered."""
+        words = Recent.bytes(raw, at, sizes)
+        hit, slot = self.recent.find(words, sizes)
+        rest, hit = np.flatnonzero(~hit), np.flatnonzero(hit)
+        slot = slot[hit]
+        n = np.empty(len(at), np.int64)
+        n[hit] = many = self.recent.many[slot]
+        inverse, one = self._distinct(raw, at[rest], sizes[rest])
+        one = rest[one]
+        flat, first, found = self._long(raw, at[one], sizes[one], *self.batched.encode(raw, at[one], sizes[one]))
+        n[rest] = found[inverse]
+        edges = np.concatenate([[0], np.cumsum(n)])
+        ids, known, to = np.empty(edges[-1], self.dtype), self.recent.ids.ravel(), edges[hit]
+        slot = slot * FEW
+        for k in range(FEW):
+            if k:
+                on = np.flatnonzero(many > k)
+                slot, to, many = slot[on], to[on], many[on]
+            if not len(slot):
+                break
+            ids[to + k] = known[slot + k]
+        n = n[rest]
+        inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        ids[np.repeat(edges[rest], n) + inside] = flat[np.repeat(first[inverse], n) + inside]
+        self.recent.keep(words[one], sizes[one], flat, first, found)
+        return ids, edges
 
     def _long(self, raw, at, sizes, flat, first, many):
         for i in np.flatnonzero(sizes > LONGEST):
@@ -416,23 +437,21 @@ class Encoder:
         return flat, first, many
 
     @staticmethod
-    def _distinct(raw: np.ndarray, at: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For each word the number of its kind, and for each kind one word and its hash. Kinds are found by hashes and then compared."""
+    def _distinct(raw: np.ndarray, at: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each word the number of its kind, and for each kind one word. Kinds are found by hashes and then compared."""
+        n = np.concatenate([[0], np.cumsum(sizes)])
+        raw, at = raw[np.repeat(at - n[:-1], sizes) + np.arange(n[-1])], n[:-1]
         total = np.zeros(len(raw) + 1, np.uint64)
         np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * POWERS.first(len(raw)), out=total[1:])
         hashed = (total[at + sizes] - total[at]) * POWERS.inverse(at, len(raw) + 1)
         hashed ^= hashed >> np.uint64(29)
-        kinds, one, inverse = np.unique(hashed, return_index=True, return_inverse=True)
-        n = np.concatenate([[0], np.cumsum(sizes)])
-        if same := bool((sizes[one][inverse] == sizes).all()):
-            inside = np.arange(n[-1], dtype=np.int32)
-            same = bool((raw[np.repeat((at - n[:-1]).astype(np.int32), sizes) + inside] == raw[np.repeat((at[one][inverse] - n[:-1]).astype(np.int32), sizes) + inside]).all())
-        if not same:  # two words of one hash: tell them apart by their bytes
-            words: dict[bytes, int] = {}
+        _, one, inverse = np.unique(hashed, return_index=True, return_inverse=True)
+        same = bool((sizes[one][inverse] == sizes).all())
+        if not (same and bool((raw == raw[np.repeat(at[one][inverse] - at, sizes) + np.arange(n[-1])]).all())):
+            words: dict[bytes, int] = {}  # two words of one hash: tell them apart by their bytes
             inverse = np.array([words.setdefault(raw[a : a + k].tobytes(), len(words)) for a, k in zip(at, sizes, strict=True)], np.int64)
             _, one = np.unique(inverse, return_index=True)
-            kinds = hashed[one]
-        return inverse, one, kinds
+        return inverse, one
 
 
 def cut_at_white(text: str) -> list[str]:

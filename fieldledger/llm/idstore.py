@@ -1,11 +1,11 @@
 """A content-addressed store of token ids.
 
-A document's id stream (with its end id) is cut where a rolling hash of the last WINDOW ids has its low bits zero, so
-equal passages give equal chunks wherever they stand. A chunk's address is a 128-bit digest of its ids. The store has
-three parts, as Parquet, so that any file system Spark can reach will do:
+A document's id stream (with its end id) is cut where a rolling hash of the last WINDOW ids is under a bound, so equal
+passages give equal chunks wherever they stand. A chunk's address is a 128-bit digest of its ids. The store has three
+parts, as Parquet, so that any file system Spark can reach will do:
 
-* packs: for each document, the chunks that it owns, that is, those of which it is the first holder;
-  every unique chunk is stored once;
+* packs: for each document, the chunks that it owns, that is, those of which it is the first holder, at their first
+  places in it; every unique chunk is stored once;
 * recipes: for each document, the addresses of its chunks in order, its place in the stream and its Merkle root;
 * manifest: for each part and each range of RANGE documents in it, its number of documents and ids, and the Merkle root
   over theirs.
@@ -14,8 +14,8 @@ Recipes and packs lie in one table in ascending doc_id order, as separate column
 address, each document against its Merkle root, and each range against the manifest; what is missing is an error.
 
 The ids are shuffled once, to be range-partitioned by doc_id; which chunks are held elsewhere too is found from their
-addresses alone. Only documents that borrow chunks are joined with the packs when the store is read. A chunk that very
-many documents share is dealt over several tasks in both joins.
+addresses alone, of which a document gives each but once. Only documents that borrow chunks are joined with the packs when
+the store is read. A chunk that very many documents share is dealt over several tasks in both joins.
 """
 
 from __future__ import annotations
@@ -23,10 +23,11 @@ from __future__ import annotations
 import bisect
 import hashlib
 import zlib
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldledger.llm.bpe import encoder
@@ -38,23 +39,30 @@ WINDOW = 16
 #: A cut comes every MEAN ids on average, between LEAST and MOST.
 LEAST, MEAN, MOST = 64, 256, 1024
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
+BOUND = np.uint64((1 << 64) // (MEAN - LEAST))
+#: Ids that are hashed at a time.
+BLOCK = 1 << 15
 #: Documents of a part that share a root of the manifest.
 RANGE = 4096
 
 
-def cut_points(ids: np.ndarray) -> np.ndarray:
-    """Ends of the chunks of a stream: a rolling sum of mixed ids decides, within the size limits."""
-    n = len(ids)
-    if n <= LEAST:
-        return np.array([n], np.int64) if n else np.zeros(0, np.int64)
-    mixed = (ids.astype(np.uint64) + np.uint64(1)) * MULTIPLIER
-    mixed ^= mixed >> np.uint64(29)
-    total = np.cumsum(mixed, dtype=np.uint64)
-    rolled = total.copy()
-    rolled[WINDOW:] -= total[:-WINDOW]
-    rolled *= MULTIPLIER
-    wanted = (np.flatnonzero((rolled >> np.uint64(40)) % np.uint64(MEAN - LEAST) == 0) + 1).tolist()
-    ends, at = [], 0
+def _wanted(ids: np.ndarray) -> np.ndarray:
+    """Places behind which the last WINDOW ids ask for a cut, of a stream or of several behind one another."""
+    found = []
+    for at in range(0, len(ids), BLOCK):
+        before = min(at, WINDOW)
+        mixed = (ids[at - before : at + BLOCK].astype(np.uint64) + np.uint64(1)) * MULTIPLIER
+        mixed ^= mixed >> np.uint64(29)
+        total = np.cumsum(mixed, dtype=np.uint64)
+        total[WINDOW:] -= total[:-WINDOW].copy()
+        total *= MULTIPLIER
+        found.append(np.flatnonzero(total[before:] < BOUND) + (at + 1))
+    return np.concatenate(found) if found else np.zeros(0, np.int64)
+
+
+def _ends(wanted: list[int], at: int, n: int) -> list[int]:
+    """Ends of the chunks of the stream from at to n; no cut that it takes depends on what stands before it, as LEAST >= WINDOW."""
+    ends = []
     while n - at > LEAST:
         k = bisect.bisect_left(wanted, at + LEAST)
         to = wanted[k] if k < len(wanted) else n
@@ -62,7 +70,12 @@ def cut_points(ids: np.ndarray) -> np.ndarray:
         ends.append(at)
     if at < n:
         ends.append(n)
-    return np.array(ends, np.int64)
+    return ends
+
+
+def cut_points(ids: np.ndarray) -> np.ndarray:
+    """Ends of the chunks of a stream: a rolling sum of mixed ids decides, within the size limits."""
+    return np.array(_ends(_wanted(ids).tolist(), 0, len(ids)), np.int64)
 
 
 def address(chunk: bytes) -> bytes:
@@ -78,70 +91,98 @@ def merkle_root(leaves: list[bytes]) -> bytes:
     return leaves[0]
 
 
+def _lists(column: pa.Array) -> list[list]:
+    """The lists of a column of numbers; a null is empty."""
+    if not len(column):
+        return []
+    at = column.offsets.to_numpy()
+    values = column.values.slice(at[0], at[-1] - at[0]).to_numpy(zero_copy_only=False).tolist()
+    at = (at - at[0]).tolist()
+    return [values[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
+
+
+def _split(blob: bytes, sizes: list[int]) -> list[bytes]:
+    """Parts of so many bytes each."""
+    ends = list(accumulate(sizes))
+    return [blob[b - n : b] for n, b in zip(sizes, ends, strict=True)]
+
+
+ENCODED = "doc_id {kind}, width int, sizes array<int>, firsts array<int>, addresses binary, ids binary"
+
+
 def _encoded(path: str, end_id: int):
+    """firsts: a place of each chunk that the document has, its first."""
+
     def run(batches):
         take_turn("encoder")
         e = encoder(path)
+        end, width = np.array([end_id], e.dtype), e.dtype.itemsize
         for batch in small_batches(batches):
-            cols: list[list] = [[], [], [], []]
-            for got in e.encode_many(batch.column("text").to_pylist()):
-                ids = np.append(got, np.array(end_id, e.dtype)).astype(e.dtype)
-                ends, blob, width = cut_points(ids), ids.tobytes(), e.dtype.itemsize
-                starts = np.concatenate([[0], ends[:-1]])
-                cols[0].append(width)
-                cols[1].append((ends - starts).tolist())
-                cols[2].append(b"".join([address(blob[a * width : b * width]) for a, b in zip(starts, ends, strict=True)]))
-                cols[3].append(blob)
-            kinds = (pa.int32(), pa.list_(pa.int32()), pa.binary(), pa.binary())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], ["doc_id", "width", "sizes", "addresses", "ids"]
-            )
+            got = [x for ids in e.encode_many(batch.column("text").to_pylist()) for x in (ids, end)]
+            flat = np.concatenate(got)
+            upto = np.cumsum([len(x) for x in got])[1::2].tolist()
+            wanted, cols, at = _wanted(flat).tolist(), ([], [], [], []), 0
+            for n in upto:
+                ends, blob = _ends(wanted, at, n), flat[at:n].tobytes()
+                sizes = [b - a for a, b in zip([at, *ends], ends, strict=False)]
+                leaves = [address(c) for c in _split(blob, [width * x for x in sizes])]
+                firsts = range(len(leaves)) if len(set(leaves)) == len(leaves) else sorted({a: i for i, a in reversed(list(enumerate(leaves)))}.values())
+                for column, x in zip(cols, (sizes, firsts, b"".join(leaves), blob), strict=True):
+                    column.append(x)
+                at = n
+            kinds = (pa.list_(pa.int32()), pa.list_(pa.int32()), pa.binary(), pa.binary())
+            columns = [batch.column("doc_id"), pa.array(np.full(len(upto), width, np.int32)), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "width", "sizes", "firsts", "addresses", "ids"])
 
     return run
 
 
 STORE = (
     "part int, place long, doc_id {kind}, local_start long, n_tokens long, width int, sizes array<int>, addresses binary, "
-    "borrowed array<int>, lent array<int>, root binary, pack binary"
+    "borrowed array<int>, lent array<int>, holders array<long>, root binary, pack binary"
 )
 
 
 def _packed(batches):
-    """Sorted rows of (doc_id, row, kind): a document's borrowed and lent chunks, then its ids. Writes rows of the store."""
+    """Sorted rows of (doc_id, row, kind): a document's chunks that others hold too, a row each, then its ids. Writes rows of the store.
+
+    The row of a chunk has its place and, where the document owns it, how many documents hold it."""
     from pyspark import TaskContext
 
-    part, at, place, notes = TaskContext.get().partitionId(), 0, 0, {}
+    part, at, place, held, notes = TaskContext.get().partitionId(), 0, 0, None, {}
     for batch in small_batches(batches):
-        cols: dict[str, list] = {c: [] for c in ("part", "place", "doc_id", "local_start", "n_tokens", "width", "sizes", "addresses", "borrowed", "lent", "root", "pack")}
-        for row in batch.to_pylist():
-            if row["seqs"] is not None:
-                notes = {"row": row["row"], "borrowed": row["seqs"], "lent": row["lent"]}
+        cols: dict[str, list] = {c: [] for c in ("part", "place", "local_start", "n_tokens", "borrowed", "lent", "holders", "root", "pack")}
+        row_, seq_, holders_ = (batch.column(c).to_pylist() for c in ("row", "seq", "holders"))
+        docs = [i for i, seq in enumerate(seq_) if seq is None]
+        of = batch.take(pa.array(docs, pa.int64()))
+        plain = (of.column(c).to_pylist() for c in ("width", "addresses", "ids"))
+        whole = zip(_lists(of.column("sizes")), _lists(of.column("firsts")), *plain, strict=True)
+        for row, seq, holders in zip(row_, seq_, holders_, strict=True):
+            if row != held:
+                held, notes = row, {}
+            if seq is not None:
+                notes[seq] = holders
                 continue
-            own = notes if notes.get("row") == row["row"] else {}
-            sizes, width, blob, addresses = row["sizes"], row["width"], row["ids"], row["addresses"]
-            borrowed, kept, k = set(own.get("borrowed") or ()), [], 0
-            for i, n in enumerate(sizes):
-                if i not in borrowed:
-                    kept.append(blob[k * width : (k + n) * width])
-                k += n
-            leaves = [addresses[i : i + 16] for i in range(0, len(addresses), 16)]
-            values = (part, place, row["doc_id"], at, k, width, sizes, addresses, sorted(borrowed), sorted(own.get("lent") or ()), merkle_root(leaves), b"".join(kept))
+            sizes, firsts, width, addresses, blob = next(whole)
+            borrowed = sorted(i for i, n in notes.items() if n is None)
+            lent = sorted(i for i, n in notes.items() if n is not None)
+            pack, k = blob, sum(sizes)
+            if borrowed or len(firsts) < len(sizes):
+                parts, gone = _split(blob, [width * n for n in sizes]), set(borrowed)
+                pack = b"".join([parts[i] for i in firsts if i not in gone])
+            values = (part, place, at, k, borrowed, lent, [notes[i] for i in lent], merkle_root(_split(addresses, [16] * len(sizes))), pack)
             for column, x in zip(cols.values(), values, strict=True):
                 column.append(x)
             at, place = at + k, place + 1
-        kinds = (pa.int32(), pa.int64(), batch.schema.field("doc_id").type, pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.binary(), pa.binary())
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols.values(), kinds, strict=True)], list(cols))
-
-
-def _addresses(df: DataFrame) -> DataFrame:
-    """A row a chunk: row, seq and the address as two longs."""
-    n = F.octet_length("addresses") / 16
-    half = lambda at: F.conv(F.hex(F.substring("addresses", at, 8)), 16, -10).cast("long")
-    return (
-        df.filter(F.octet_length("addresses") > 0)
-        .select("row", "addresses", F.explode(F.sequence(F.lit(0), (n - 1).cast("int"))).alias("seq"))
-        .select("row", "seq", half(F.col("seq") * 16 + 1).alias("hi"), half(F.col("seq") * 16 + 9).alias("lo"))
-    )
+        ints, longs = pa.list_(pa.int32()), pa.list_(pa.int64())
+        kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), ints, ints, longs, pa.binary(), pa.binary())
+        made = {c: pa.array(x, k) for (c, x), k in zip(cols.items(), kinds, strict=True)} | {c: of.column(c) for c in ("doc_id", "width", "sizes", "addresses")}
+        names = ["part", "place", "doc_id", "local_start", "n_tokens", "width", "sizes", "addresses", "borrowed", "lent", "holders", "root", "pack"]
+        yield pa.RecordBatch.from_arrays([made[c] for c in names], names)
+
+
+def _address(seq: str) -> Column:
+    return F.substring("addresses", F.col(seq) * 16 + 1, F.lit(16)).alias("address")
 
 
 def write_store(docs: DataFrame, vocabulary: str, target: str | None = None, end_id: int = END_ID) -> str:
@@ -153,31 +194,18 @@ def write_store(docs: DataFrame, vocabulary: str, target: str | None = None, end
     spark, kind = docs.sparkSession, docs.schema["doc_id"].dataType.simpleString()
     target = target or fresh_path(spark, "id-store")
     staged = materialize(
-        docs.select("doc_id", "text").mapInArrow(_encoded(vocabulary, end_id), f"doc_id {kind}, width int, sizes array<int>, addresses binary, ids binary"),
+        docs.select("doc_id", "text").mapInArrow(_encoded(vocabulary, end_id), ENCODED.format(kind=kind)),
         "encoded",
         path=(staging := fresh_path(spark, "encoded")),
         add_row=True,
         compression="zstd",
     )
-    chunks = _addresses(staged.select("row", "addresses"))
-    # the first holder, at its first place there, owns a chunk; a copy inside one document is borrowed too
-    held = chunks.groupBy("hi", "lo", "row").agg(F.min("seq").alias("seq"), F.count("*").alias("times"))
-    shared = held.groupBy("hi", "lo").agg(F.min("row").alias("owner"), F.sum("times").alias("holders")).filter("holders > 1")
-    shared = materialize(shared, "shared-chunks")
-    counts = shared.select("hi", "lo", F.col("holders").alias("uses"))
-    firsts = spread_join(held.drop("times"), shared.select("hi", "lo", "owner"), ["hi", "lo"], "row", counts).filter("row = owner")
-    firsts = materialize(firsts.select("hi", "lo", "owner", F.col("seq").alias("first")), "first-holders")
-    uses = spread_join(chunks, firsts, ["hi", "lo"], "row", counts)
-    lends = (F.col("row") == F.col("owner")) & (F.col("seq") == F.col("first"))
-    notes = uses.groupBy("row").agg(
-        F.collect_list(F.when(~lends, F.col("seq"))).alias("seqs"), F.collect_list(F.when(lends, F.col("seq"))).alias("lent")
-    )
-    nothing = lambda t: F.lit(None).cast(t)
-    rows = staged.select("doc_id", "row", "width", "sizes", "addresses", "ids", nothing("array<int>").alias("seqs"), nothing("array<int>").alias("lent"))
-    notes = notes.join(staged.select("doc_id", "row"), "row").select(
-        "doc_id", "row", nothing("int").alias("width"), nothing("array<int>").alias("sizes"), nothing("binary").alias("addresses"), nothing("binary").alias("ids"), "seqs", "lent"
-    )
-    rows = rows.unionByName(notes).withColumn("last", F.col("seqs").isNull())
+    chunks = staged.select("doc_id", "row", "addresses", F.explode("firsts").alias("seq")).select("doc_id", "row", "seq", _address("seq"))
+    # the first holder owns a chunk; copies inside one document are told by its recipe
+    shared = materialize(chunks.groupBy("address").agg(F.min("row").alias("owner"), F.count("*").alias("uses")).filter("uses > 1"), "shared-chunks")
+    uses = spread_join(chunks, shared, ["address"], "row", shared)
+    notes = uses.select("doc_id", "row", "seq", F.when(F.col("row") == F.col("owner"), F.col("uses")).alias("holders"))
+    rows = staged.unionByName(notes, allowMissingColumns=True).withColumn("last", F.col("seq").isNull())
     ordered = rows.repartitionByRange("doc_id", "row").sortWithinPartitions("doc_id", "row", "last")
     ordered.drop("last").mapInArrow(_packed, STORE.format(kind=kind)).write.parquet(f"{target}/store", compression="zstd")
     drop_path(spark, staging)
@@ -201,19 +229,45 @@ def _ranges(store: DataFrame) -> DataFrame:
 def _lend(batches):
     """The chunks that others hold too."""
     for batch in small_batches(batches):
-        his, los, blobs = [], [], []
-        for row in batch.to_pylist():
-            borrowed, lent, k = set(row["borrowed"]), set(row["lent"]), 0
-            for i, n in enumerate(row["sizes"]):
-                if i in borrowed:
+        found, chunks = [], []
+        lists = (_lists(batch.column(c)) for c in ("sizes", "borrowed", "lent"))
+        plain = (batch.column(c).to_pylist() for c in ("width", "addresses", "pack"))
+        for sizes, borrowed, lent, width, addresses, pack in zip(*lists, *plain, strict=True):
+            wanted, gone, seen, k = set(lent), set(borrowed), set(), 0
+            for i, (n, a) in enumerate(zip(sizes, _split(addresses, [16] * len(sizes)), strict=True)):
+                if a in seen:
+                    continue
+                seen.add(a)
+                if i in gone:
                     continue
-                if i in lent:
-                    a = row["addresses"][16 * i : 16 * i + 16]
-                    his.append(int.from_bytes(a[:8], "big", signed=True))
-                    los.append(int.from_bytes(a[8:], "big", signed=True))
-                    blobs.append(row["pack"][k * row["width"] : (k + n) * row["width"]])
+                if i in wanted:
+                    found.append(a)
+                    chunks.append(pack[k * width : (k + n) * width])
                 k += n
-        yield pa.RecordBatch.from_arrays([pa.array(his, pa.int64()), pa.array(los, pa.int64()), pa.array(blobs, pa.binary())], ["hi", "lo", "chunk"])
+        yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), pa.array(chunks, pa.binary())], ["address", "chunk"])
+
+
+def _whole(sizes: list[int], width: int, addresses: bytes, root: bytes, pack: bytes, borrowed: list[int], got: dict[int, bytes]) -> bytes | None:
+    """A document's ids from its pack and its borrowed chunks; None where they are not what its recipe says."""
+    leaves = _split(addresses, [16] * len(sizes))
+    if len(leaves) * 16 != len(addresses) or merkle_root(leaves) != root:
+        return None
+    gone, have, parts, k = set(borrowed), {}, [], 0
+    for i, (n, a) in enumerate(zip(sizes, leaves, strict=True)):
+        chunk = have.get(a)
+        if chunk is None:
+            if i in gone:
+                chunk = got[i]
+            else:
+                chunk = pack[k : k + n * width]
+                k += n * width
+            if address(chunk) != a:
+                return None
+            have[a] = chunk
+        if len(chunk) != n * width:
+            return None
+        parts.append(chunk)
+    return b"".join(parts) if k == len(pack) else None
 
 
 def _restore(bases: dict[int, int], with_ids: bool):
@@ -221,28 +275,22 @@ def _restore(bases: dict[int, int], with_ids: bool):
 
     def run(batches):
         for batch in small_batches(batches):
-            out: list[list] = [[], [], [], [], []]
-            for row in batch.to_pylist():
-                borrowed = set(row["borrowed"])
-                got = {c["seq"]: c["chunk"] for c in row["chunks"] or ()}
-                width, parts, k = row["width"], [], 0
-                for i, n in enumerate(row["sizes"]):
-                    if i in borrowed:
-                        if got.get(i) is None:
-                            raise ValueError(f"document {row['doc_id']}: chunk {i} is missing, so its chunks do not match its recipe")
-                        parts.append(got[i])
-                    else:
-                        parts.append(row["pack"][k * width : (k + n) * width])
-                        k += n
-                leaves = [address(p) for p in parts]
-                if b"".join(leaves) != row["addresses"] or merkle_root(leaves) != row["root"]:
-                    raise ValueError(f"document {row['doc_id']}: its chunks do not match its recipe")
-                ids = np.frombuffer(b"".join(parts), f"<u{width}").astype("<u4").tobytes()
-                values = (row["doc_id"], bases[row["part"]] + row["local_start"], row["n_tokens"], zlib.crc32(ids), ids if with_ids else None)
-                for column, x in zip(out, values, strict=True):
+            out: list[list] = [[], [], []]
+            lists = (_lists(batch.column(c)) for c in ("sizes", "borrowed"))
+            names = ("doc_id", "part", "local_start", "n_tokens", "width", "addresses", "root", "pack", "chunks")
+            plain = (batch.column(c).to_pylist() for c in names)
+            for sizes, borrowed, doc_id, part, start, n_tokens, width, addresses, root, pack, chunks in zip(*lists, *plain, strict=True):
+                got = {c["seq"]: c["chunk"] for c in chunks or ()}
+                if missing := [i for i in borrowed if got.get(i) is None]:
+                    raise ValueError(f"document {doc_id}: chunk {missing[0]} is missing, so its chunks do not match its recipe")
+                blob = _whole(sizes, width, addresses, root, pack, borrowed, got)
+                if blob is None or len(blob) != n_tokens * width:
+                    raise ValueError(f"document {doc_id}: its chunks do not match its recipe")
+                ids = np.frombuffer(blob, f"<u{width}").astype("<u4").tobytes()
+                for column, x in zip(out, (bases[part] + start, zlib.crc32(ids), ids if with_ids else None), strict=True):
                     column.append(x)
-            kinds = (batch.schema.field("doc_id").type, pa.int64(), pa.int64(), pa.int64(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["doc_id", "start", "n_tokens", "ids_crc32", "ids"])
+            start, crc, ids = (pa.array(x, k) for x, k in zip(out, (pa.int64(), pa.int64(), pa.binary()), strict=True))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), start, batch.column("n_tokens"), crc, ids], ["doc_id", "start", "n_tokens", "ids_crc32", "ids"])
 
     return run
 
@@ -261,16 +309,17 @@ def read_store(spark: SparkSession, target: str, with_ids: bool = True) -> DataF
             raise ValueError(f"part {row['part']}: its documents do not match the manifest")
         bases[row["part"]] = at
         at += row["n_tokens"]
-    alone = store.filter(F.size("borrowed") == 0).withColumn("chunks", F.lit(None).cast("array<struct<seq:int,chunk:binary>>"))
-    needy = store.filter(F.size("borrowed") > 0).withColumn("row", F.struct("part", "local_start"))
-    uses = needy.select("row", F.explode("borrowed").alias("seq"), "addresses")
-    half = lambda at_: F.conv(F.hex(F.substring("addresses", at_, 8)), 16, -10).cast("long")
-    uses = uses.select("row", "seq", half(F.col("seq") * 16 + 1).alias("hi"), half(F.col("seq") * 16 + 9).alias("lo"))
-    lent = store.filter(F.size("lent") > 0).mapInArrow(_lend, "hi long, lo long, chunk binary")
+    recipe = store.select("part", "doc_id", "local_start", "n_tokens", "width", "sizes", "addresses", "borrowed", "root", "pack")
+    alone = recipe.filter(F.size("borrowed") == 0).withColumn("chunks", F.lit(None).cast("array<struct<seq:int,chunk:binary>>"))
+    needy = recipe.filter(F.size("borrowed") > 0)
+    uses = needy.select("part", "local_start", "addresses", F.explode("borrowed").alias("seq")).select("part", "local_start", "seq", _address("seq"))
+    lenders = store.filter(F.size("lent") > 0)
+    lent = lenders.select("width", "sizes", "addresses", "borrowed", "lent", "pack").mapInArrow(_lend, "address binary, chunk binary")
+    counts = lenders.select("addresses", F.explode(F.arrays_zip("lent", "holders")).alias("x")).select("addresses", F.col("x.lent").alias("seq"), F.col("x.holders").alias("uses")).select(_address("seq"), "uses")
     # a chunk that is missing is null, and an error where it is wanted
-    counts = uses.groupBy("hi", "lo").agg(F.count("*").alias("uses"))
-    chunks = spread_join(uses, lent, ["hi", "lo"], "row", counts, "left").groupBy("row").agg(F.collect_list(F.struct("seq", "chunk")).alias("chunks"))
-    joined = needy.join(chunks, "row").drop("row").select(*alone.columns)
+    row = ["part", "local_start"]
+    found = spread_join(uses, lent, ["address"], "local_start", counts, "left")
+    joined = needy.join(found.groupBy(*row).agg(F.collect_list(F.struct("seq", "chunk")).alias("chunks")), row).select(*alone.columns)
     out = f"doc_id {kind}, start long, n_tokens long, ids_crc32 long, ids binary"
     restore = _restore(bases, with_ids)
     return alone.mapInArrow(restore, out).unionByName(joined.mapInArrow(restore, out))

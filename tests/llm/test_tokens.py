@@ -68,6 +68,20 @@ def test_words_are_merged_once_a_worker(path, monkeypatch):
         assert e.encode(text).tolist() == library.encode(text, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("path", [BYTE, WORD])
+def test_remembered_words_are_not_sorted(path, monkeypatch):
+    """Words that are remembered are found by their bytes alone; longer ones with the same beginning are others."""
+    e, library = Encoder(path), Tokenizer.from_file(path)
+    short, long = "one two two" + " abcdefghijklmno" * 2, " abcdefghijklmnop abcdefghijklmnoé abcdefghijklmno"
+    texts = [short, short + long, "é " + short, short, long + " é"]
+    want = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [e.encode(t).tolist() for t in texts] == want and [x.tolist() for x in e.encode_many(texts)] == want
+    seen, distinct = [], Encoder._distinct
+    monkeypatch.setattr(Encoder, "_distinct", staticmethod(lambda raw, at, sizes: seen.append(len(at)) or distinct(raw, at, sizes)))
+    assert e.encode(short).tolist() == want[0] and seen == [0]
+    assert e.encode(texts[1]).tolist() == want[1] and 0 < seen[1] <= 3
+
+
 @pytest.mark.parametrize("path", [BYTE, WORD])
 def test_table_of_pairs(path):
     merges = bpe.Merges(path)
@@ -167,6 +181,43 @@ def test_chunks_are_content_defined():
     assert len(idstore.cut_points(ids[:0])) == 0 and idstore.cut_points(ids[:3]).tolist() == [3]
 
 
+def test_streams_are_cut_as_each_alone(monkeypatch):
+    """Cuts of streams behind one another, hashed in blocks of any size."""
+    rng = np.random.default_rng(3)
+    streams = [rng.integers(0, 50000, n).astype("<u2") for n in (5000, 1, 64, 65, 0, 3000, 17)]
+    want = [idstore.cut_points(x).tolist() for x in streams]
+    assert [x[-1:] for x in want] == [[len(x)] * bool(len(x)) for x in streams]
+    for block in (100, 1000, 1 << 15):
+        monkeypatch.setattr(idstore, "BLOCK", block)
+        wanted, at = idstore._wanted(np.concatenate(streams)).tolist(), 0
+        for x, ends in zip(streams, want, strict=True):
+            assert [b - at for b in idstore._ends(wanted, at, at + len(x))] == ends
+            at += len(x)
+
+
+def test_copies_inside_a_document(spark):
+    """A passage that a document repeats is stored once, and borrowed once at most by another that repeats it too."""
+    passage = sentence(5, 4000)
+    rows = [(1, f"{passage} {passage} {passage}"), (2, f"x {passage} y {passage} {sentence(6, 900)}"), (3, sentence(7, 300))]
+    target = idstore.write_store(make(spark, rows).coalesce(1), BYTE)
+    got = {r["doc_id"]: bytes(r["ids"]) for r in idstore.read_store(spark, target).collect()}
+    library = Tokenizer.from_file(BYTE)
+    assert got == {i: np.array([*library.encode(t, add_special_tokens=False).ids, 2], "<u4").tobytes() for i, t in rows}
+    held, stored, owned, uses = {}, 0, set(), Counter()
+    for r in spark.read.parquet(f"{target}/store").collect():
+        held[r["doc_id"]] = chunks = [bytes(r["addresses"][k : k + 16]) for k in range(0, len(r["addresses"]), 16)]
+        borrowed = [chunks[i] for i in r["borrowed"]]
+        assert len(set(borrowed)) == len(borrowed) < len(chunks)
+        own = dict.fromkeys(c for c in chunks if c not in borrowed)
+        assert not owned & set(own) and {chunks[i] for i in r["lent"]} <= set(own)
+        owned |= set(own)
+        stored += len(r["pack"]) // 2
+        uses.update({chunks[i]: n for i, n in zip(r["lent"], r["holders"], strict=True)})
+    together = set(held[1]) & set(held[2])
+    assert len(together) > 5 and uses == dict.fromkeys(together, 2)
+    assert stored < sum(map(len, got.values())) / 4 / 2
+
+
 def damaged(spark, tmp_path, rows, change):
     """The store of rows with its table changed, and the manifest as it was."""
     target = idstore.write_store(make(spark, rows), BYTE)
