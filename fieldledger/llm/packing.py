@@ -4,15 +4,14 @@ Documents are tokenised once, cut where they are longer than a sequence, and wri
 is planned on the histogram of piece lengths, which has at most `capacity` entries whatever the corpus: a bin is filled
 greedily with the longest length that fits, then its smallest document is replaced by two unpacked ones that fill the
 gap that this opens more tightly; the finished bin is a pattern, repeated as often as the counts allow. Pieces find
-their place by rank among those of their length: ranks are counted inside salted groups and shifted by the counts of the
-groups before; of n pieces of one length, some sqrt(n) groups have some sqrt(n) rows each, so a length that a third of
-all documents share is no hot spot. Pieces are told apart by a number of their own. The plan has
-at most a few patterns for each length and goes to the executors in the task's closure.
+their place by rank among those of their length: the task that cuts them numbers those of each length from 0, and the
+counts of the parts before, one part a task, shift its numbers. So pieces are neither sorted nor, while the counts are
+few, shuffled, and a length that a third of all documents share is no hot spot. The plan has at most a few patterns for
+each length and goes to the executors in the task's closure.
 """
 
 from __future__ import annotations
 
-import math
 import zlib
 from dataclasses import dataclass
 
@@ -23,12 +22,12 @@ from pyspark.sql import functions as F
 
 from fieldledger.llm.bpe import encoder
 from fieldledger.llm.common import small_batches, take_turn
-from fieldledger.session import materialize, table
+from fieldledger.session import broadcast_if_small, materialize, table
 
 CAPACITY = 2048
 END_ID = 0
-#: Rows of one length that are ranked without groups.
-GROUP_ROWS = 256
+#: Counts of parts' lengths that go to every executor; more are joined by shuffling.
+BASES = 200_000
 
 
 @dataclass
@@ -133,50 +132,50 @@ def _cut(path: str, capacity: int, end_id: int):
     def run(batches):
         take_turn("encoder")
         encode_many = encoder(path).encode_many
+        seen = [0] * (capacity + 1)  # pieces of each length so far
         for batch in small_batches(batches):
             ids = batch.column("doc_id").to_pylist()
-            out: list[list] = [[], [], [], [], []]
+            out: list[list] = [[], [], [], [], [], []]
             for doc_id, got in zip(ids, encode_many(batch.column("text").to_pylist()), strict=True):
                 tokens = np.append(got.astype("<u4"), np.uint32(end_id)).astype("<u4")
                 for piece, start in enumerate(range(0, len(tokens), capacity)):
                     part = tokens[start : start + capacity]
-                    for column, x in zip(out, (doc_id, piece, start, len(part), zlib.crc32(part.tobytes())), strict=True):
+                    nth = seen[len(part)]
+                    seen[len(part)] += 1
+                    for column, x in zip(out, (doc_id, piece, start, len(part), zlib.crc32(part.tobytes()), nth), strict=True):
                         column.append(x)
-            kinds = (batch.schema.field("doc_id").type, pa.int32(), pa.int64(), pa.int64(), pa.int64())
+            kinds = (batch.schema.field("doc_id").type, pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"]
+                [pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32", "nth"]
             )
 
     return run
 
 
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32; a null or empty text is the end id alone."""
+    """doc_id, piece, start, length, ids_crc32; a null or empty text is the end id alone.
+
+    Also part, the task that cut the piece, and nth, its number from 0 among the part's pieces of that length. Store the
+    result before it is used twice: another run may deal the documents to other tasks.
+    """
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(
-        _cut(path, capacity, end_id), f"doc_id {kind}, piece int, start long, length long, ids_crc32 long"
+    cut = docs.select("doc_id", "text").mapInArrow(
+        _cut(path, capacity, end_id), f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, nth int"
     )
+    return cut.withColumn("part", F.spark_partition_id())
 
 
-def assign(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """Adds sequence_id and offset to stored pieces, which have a row number; they are read three times."""
-    counted = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}  # capacity rows at most
-    keys, seqs, offsets = slots(plan(counted, capacity))
-    groups = F.lit(1)
-    big = {k: math.ceil(math.sqrt(n) / 4) for k, n in counted.items() if n > GROUP_ROWS}
-    if big:
-        many = F.create_map(*[F.lit(x) for kv in big.items() for x in kv])
-        groups = F.coalesce(F.try_element_at(many, F.col("length").cast("int")), F.lit(1))
-    salted = cut.withColumn("salt", F.pmod(F.xxhash64("row"), groups.cast("long")))
-    before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
-    bases = (
-        salted.groupBy("length", "salt").agg(F.count("*").alias("c")).select("length", "salt", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("base"))
-    )
-    inside = Window.partitionBy("length", "salt").orderBy("row")
+def assign(cut: DataFrame, capacity: int = CAPACITY, few: int = BASES) -> DataFrame:
+    """Adds sequence_id and offset to stored pieces, which are read three times. few: counts that are broadcast at most."""
+    sizes = cut.groupBy("length").agg(F.count("*").alias("n"), F.count_if(F.col("nth") == 0).alias("parts")).collect()  # capacity rows at most
+    keys, seqs, offsets = slots(plan({r["length"]: r["n"] for r in sizes}, capacity))
+    before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    key = ["part", F.col("length").cast("int").alias("size")]  # both fit into one long
+    bases = cut.groupBy("part", "length").agg(F.count("*").alias("c")).select(*key, F.coalesce(F.sum("c").over(before), F.lit(0)).alias("base"))
     ranked = (
-        salted.withColumn("rank", F.row_number().over(inside) - 1)
-        .join(bases, ["length", "salt"])
-        .select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("rank") + F.col("base")).alias("rank"))
+        cut.select("*", key[1])
+        .join(broadcast_if_small(bases, sum(r["parts"] for r in sizes), few), ["part", "size"])
+        .select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("nth") + F.col("base")).alias("rank"))
     )
 
     def placed(batches):
@@ -201,7 +200,7 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END
     A null or empty text is the end id alone. Rows that repeat a doc_id, null ones too, are packed each. Pieces of one
     length are interchangeable: which takes which place is not defined beyond that. An empty table gives no rows.
     """
-    return assign(materialize(pieces(docs, path, capacity, end_id), "pieces", add_row=True), capacity)
+    return assign(materialize(pieces(docs, path, capacity, end_id), "pieces"), capacity)
 
 
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
